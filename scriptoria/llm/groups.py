@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int) -> DataFrame:
-    """``work`` on the rows of each value of the long column ``key``; at most one key's rows are held beyond a batch."""
+def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int, many: bool = False) -> DataFrame:
+    """``work`` on the rows of each value of the long column ``key``; at most one key's rows are held beyond a batch.
+
+    With ``many``, ``work`` gets all the keys that end in a batch at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -18,6 +21,8 @@ def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.Rec
         for batch in batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            if many and len(cuts) > 3:
+                cuts = [0, *([cuts[1]] if held and keys[0] == now else []), cuts[-2], cuts[-1]]
             for i, j in zip(cuts, cuts[1:]):
                 if held and keys[i] != now:
                     if (out := work(joined(held))) is not None:

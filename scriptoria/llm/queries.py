@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from scriptoria.llm.decontaminate import OP3_SQL, op3_query
 from scriptoria.llm.hilbert import op1_query
 from scriptoria.llm.minhash import op4_query
+from scriptoria.llm.spans import op9_query
 
 QUERIES = {
     "op1_hilbert_shards": op1_query,
+    "op3_decontamination": op3_query,
     "op4_minhash_near_dedup": op4_query,
+    "op9_repeated_spans": op9_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
