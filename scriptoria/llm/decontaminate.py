@@ -9,7 +9,8 @@ from scriptoria.llm.scratch import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before lower-casing: any run of other than the ASCII characters that are no letter or digit.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: They are listed one by one, as the JVM then looks a character up in one bit set; ranges are tried one after another.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 #: Test terms and test places up to which they are broadcast; beyond, they are joined by shuffle.
 MAX_BROADCAST = 200_000
 
