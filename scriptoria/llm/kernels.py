@@ -70,9 +70,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of a slice: byte ranges [start, end), the first word of each document, 64-bit hashes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, gap: np.ndarray = GAP):
         self.raw, self.off = raw, off
-        word = ~GAP[raw]
+        word = ~gap[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[off] = True
         before = np.empty(len(raw), bool)
@@ -86,12 +86,14 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.per_doc = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, *prefixes: int) -> np.ndarray | list[np.ndarray]:
+        """Hash of each word; with ``prefixes``, a list of the hashes of so many first bytes of each."""
         total = np.zeros(len(self.raw) + 1, np.uint64)
         np.cumsum(BYTE_CODE[self.raw] * powers("p", BASE, len(self.raw)), out=total[1:])
-        h = total[self.end] - total[self.start]
-        h *= powers("i", INVERSE, len(self.raw) + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        back = powers("i", INVERSE, len(self.raw) + 1)[self.start]
+        ends = [np.minimum(self.end, self.start + n) for n in prefixes] or [self.end]
+        out = [mix((total[e] - total[self.start]) * back + (e - self.start).astype(np.uint64)) for e in ends]
+        return out if prefixes else out[0]
 
     def left(self) -> np.ndarray:
         """How many words of its document begin at each word, itself included."""

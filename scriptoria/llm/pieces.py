@@ -146,8 +146,8 @@ class PieceModel:
         return text[1:] if text[:1] == b" " else text
 
 
-def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids (little-endian unsigned 32-bit integers, begin and end ids included), decoded.
+def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): the columns ``carry``, n_tokens, ids (little-endian unsigned 32-bit integers, begin and end ids included), decoded.
 
     ``model`` is the path of the model file on the driver; its vocabulary goes to the executors with the
     tasks. A null text counts as empty and has the begin and end ids alone.
@@ -171,9 +171,10 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
                     n.append(len(code) // 4)
                     ids.append(code)
                     decoded.append(own.decode(parts))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ from scriptoria.llm.lempel_ziv import op2_query
 from scriptoria.llm.lines import OP7_SQL, op7_query
 from scriptoria.llm.minhash import op4_query
 from scriptoria.llm.pieces import op10_query
+from scriptoria.llm.quality import op6_query
 from scriptoria.llm.revisits import OP5_SQL, op5_query
 from scriptoria.llm.spans import op9_query
+from scriptoria.llm.toxicity import op8_query
 
 QUERIES = {
     "op1_hilbert_shards": op1_query,
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_decontamination": op3_query,
     "op4_minhash_near_dedup": op4_query,
     "op5_revisit_resolution": op5_query,
+    "op6_byte_network_quality": op6_query,
     "op7_line_dedup": op7_query,
+    "op8_kneser_ney_toxicity": op8_query,
     "op9_repeated_spans": op9_query,
     "op10_prefix_table_pieces": op10_query,
 }
