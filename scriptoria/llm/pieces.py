@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that each of a worker's memories holds before it is emptied; longer segments are not remembered.
-MEMORY, MEMORY_CHARS = 300_000, 48
+MEMORY, MEMORY_CHARS = 120_000, 48
 SPACE = "▁"
 _MODELS: dict[str, PieceModel] = {}
 
