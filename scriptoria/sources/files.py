@@ -20,9 +20,11 @@ def file_size(spark: SparkSession, path: str) -> int | None:
 
 
 def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
-    """Text parts, in UTF-8, one after another in one new file."""
+    """Text parts, in UTF-8, one after another in one new file, without a checksum file that others' writes would break."""
     p, fs = _at(spark, path)
+    fs.setWriteChecksum(False)
     out = fs.create(p, True)
+    fs.setWriteChecksum(True)
     try:
         for part in parts:
             out.write(bytearray(part.encode()))

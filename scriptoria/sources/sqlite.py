@@ -1,16 +1,14 @@
-"""SQLite tables as a Python data source, format "sqlite": options path, table and partitions."""
+"""SQLite tables as a Python data source, format "sqlite": options path, table, partitions and equals."""
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
-
-SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
@@ -36,29 +34,15 @@ class Rows(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, path: str, table: str, parts: int, schema: T.StructType):
+    # No pushFilters: Spark keeps one reader for all uses of a loaded table, so filters of one query would hold in the next.
+    def __init__(self, path: str, table: str, parts: int, equals: dict[str, int | str], schema: T.StructType):
         self.path, self.table, self.parts, self.schema = path, table, parts, schema
-        self.where: list[str] = []
-        self.values: list = []
+        self.where = [f"{quoted(c)} = ?" for c in equals]
+        self.values = list(equals.values())
 
     def connect(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = quoted(f.attribute[0]) if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            plain = name and isinstance(self.schema[f.attribute[0]].dataType, (T.LongType, T.StringType))
-            if plain and type(f) in SIGNS and type(f.value) in (int, str):
-                self.where.append(f"{self.cast(f.attribute[0])} {SIGNS[type(f)]} ?")
-                self.values.append(f.value)
-            elif plain and isinstance(f, In) and f.value and all(type(v) in (int, str) for v in f.value):
-                self.where.append(f"{self.cast(f.attribute[0])} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif name and isinstance(f, (IsNull, IsNotNull)):
-                self.where.append(f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
-            else:
-                yield f
-
     def cast(self, column: str) -> str:
         """The column as its declared type, whatever a row holds."""
         kind = self.schema[column].dataType
@@ -74,7 +58,7 @@ class SqliteReader(DataSourceReader):
             except sqlite3.OperationalError:  # a table without row ids
                 return [Rows(None, None)]
         if low is None:
-            return []
+            return [Rows(0, -1)]
         step = -(-(high - low + 1) // max(1, self.parts))
         return [Rows(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
@@ -101,14 +85,13 @@ class SqliteSource(DataSource):
         return T.StructType([T.StructField(x[1], spark_type(x[2])) for x in columns])
 
     def reader(self, schema: T.StructType) -> SqliteReader:
-        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "8")), schema)
+        return SqliteReader(self.options["path"], self.options["table"], int(self.options.get("partitions", "8")), json.loads(self.options.get("equals", "{}")), schema)
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None, partitions: int = 8) -> DataFrame:
-    """A table, read by ranges of row ids; simple filters on whole numbers and texts run in SQLite. Executors must see ``path``."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None, partitions: int = 8, equals: dict[str, int | str] | None = None) -> DataFrame:
+    """A table, read by ranges of row ids; only rows whose columns have the values of ``equals``, compared in SQLite. Executors must see ``path``."""
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions)
+    reader = spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).option("equals", json.dumps(equals or {}))
     return (reader.schema(schema) if schema else reader).load()
 
 
