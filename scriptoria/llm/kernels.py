@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes; one longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -172,6 +172,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
                     ids.append(code)
                     decoded.append(own.decode(parts))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
+        own.encoded.clear()  # the worker lives on, for other work
+        own.decoded.clear()
 
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
