@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that each of a worker's memories holds before it is emptied; longer segments are not remembered.
+#: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
 MEMORY, MEMORY_CHARS = 120_000, 48
 SPACE = "▁"
 _MODELS: dict[str, PieceModel] = {}
@@ -39,19 +40,26 @@ def read_model(path: str) -> list[tuple[str, float, str]]:
 
 
 class Memory(dict):
-    """Results of ``work`` by argument, emptied when full."""
+    """Results of ``work`` by argument; when full, they become the older generation, from which those asked for again come back."""
 
     def __init__(self, work):
-        self.work = work
+        self.work, self.older = work, {}
 
     def __missing__(self, x):
-        out = self.work(x)
+        out = self.older.get(x)
+        if out is None:
+            out = self.work(x)
         if len(x) <= MEMORY_CHARS:
             if len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[x] = out
         return out
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class PieceModel:
     """Encoder and decoder for one vocabulary.
@@ -68,17 +76,14 @@ class PieceModel:
         self.id = {p: i for i, (p, _, kind) in enumerate(vocabulary) if kind == "text"}
         byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
         self.byte = [byte[b].to_bytes(4, "little") for b in range(256)]
-        self.packed = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.begin, self.end = (next(i for i, (p, _, _) in enumerate(vocabulary) if p == m).to_bytes(4, "little") for m in ("<s>", "</s>"))
-        self.surface = [b"" if kind == "mark" else bytes([int(p[1:-1], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary]
+        self.surface = pa.array([b"" if kind == "mark" else bytes([int(p[1:-1], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary], pa.large_binary())
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if self.merged(p) == [p]:  # others end no text
-                self.automaton.add_word(p, (len(p), p))
+                self.automaton.add_word(p, (len(p), p, self.id[p].to_bytes(4, "little"), self.before(p)))
         self.automaton.make_automaton()
-        self.compatible: dict[str, Memory] = {}
         self.encoded = Memory(self.encode_segment)
-        self.decoded = Memory(self.decode_ids)
         # no piece has a space mark after another character, so nothing merges across such a place
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece crosses words")
@@ -98,52 +103,48 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def after(self, piece: str) -> Memory:
-        """Which pieces are compatible with ``piece`` before them, tested when first asked."""
-        out = self.compatible[piece] = Memory(lambda b: self.merged(piece + b) == [piece, b])
-        return out
+    def before(self, piece: str) -> Memory:
+        """Which pieces are compatible with ``piece`` after them, tested when first asked."""
+        return Memory(lambda a: self.merged(a + piece) == [a, piece])
 
     def encode_segment(self, segment: str) -> bytes:
         """Ids as little-endian 32-bit integers. ``last[i]`` is the last piece of the first i characters; none for one that no piece has."""
-        last: list[str | None] = [None] * (len(segment) + 1)
-        compatible = self.compatible
-        for end, (size, piece) in self.automaton.iter(segment):
+        last: list[tuple | None] = [None] * (len(segment) + 1)
+        for end, entry in self.automaton.iter(segment):
             end += 1
             if last[end] is None:
-                begin = end - size
+                begin = end - entry[0]
                 if begin:
-                    before = last[begin] or segment[begin - 1]
-                    known = compatible.get(before)
-                    if known is None:
-                        known = self.after(before)
-                    if not known[piece]:
+                    known = last[begin]
+                    if not entry[3][known[1] if known else segment[begin - 1]]:
                         continue
-                last[end] = piece
+                last[end] = entry
         out, i = [], len(segment)
         while i:
-            piece = last[i]
-            if piece is None:
+            entry = last[i]
+            if entry is None:
                 i -= 1
                 out.append(b"".join([self.byte[x] for x in segment[i].encode()]))
             else:
-                out.append(self.packed[piece])
-                i -= len(piece)
+                out.append(entry[2])
+                i -= entry[0]
         out.reverse()
         return b"".join(out)
 
-    def decode_ids(self, ids: bytes) -> bytes:
-        return b"".join([self.surface[i] for i in memoryview(ids).cast("I")])
-
-    def encode(self, text: str) -> list[bytes]:
-        """Ids of each segment of a text; a segment is a run of spaces and the characters up to the next."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, segment by segment; a segment is a run of spaces and the characters up to the next."""
         if not text:
-            return []
-        return list(map(self.encoded.__getitem__, self.segment.findall(SPACE + text.replace(" ", SPACE))))
+            return b""
+        return b"".join(map(self.encoded.__getitem__, self.segment.findall(SPACE + text.replace(" ", SPACE))))
 
-    def decode(self, segments: list[bytes]) -> bytes:
-        """The text of ids given by segment, in UTF-8, without the space put in front; control ids give nothing."""
-        text = b"".join(map(self.decoded.__getitem__, segments))
-        return text[1:] if text[:1] == b" " else text
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Texts of ids, in UTF-8, without the space put in front; control ids give nothing."""
+        taken = self.surface.take(pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        ends = np.append(0, np.cumsum([len(x) // 4 for x in ids]))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[ends].tolist() if len(taken) else [0] * len(ends)
+        raw = data.to_pybytes() if data is not None else b""
+        return [raw[a + raw.startswith(b" ", a, b) : b] for a, b in zip(at, at[1:])]
 
 
 def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -164,16 +165,10 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, ids, decoded = [], [], []
-                for text in batch.column("text").to_pylist():
-                    parts = own.encode(text or "")
-                    code = b"".join([own.begin, *parts, own.end])
-                    n.append(len(code) // 4)
-                    ids.append(code)
-                    decoded.append(own.decode(parts))
+                ids = [own.begin + own.encode(text or "") + own.end for text in batch.column("text").to_pylist()]
+                n, decoded = [len(x) // 4 for x in ids], own.decode(ids)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
-        own.encoded.clear()  # the worker lives on, for other work
-        own.decoded.clear()
+        own.encoded.forget()  # the worker lives on, for other work
 
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
