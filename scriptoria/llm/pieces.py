@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
 MEMORY, MEMORY_CHARS = 120_000, 48
+#: Tested pairs of pieces that a worker holds before it forgets them.
+PAIRS = 600_000
 SPACE = "▁"
 _MODELS: dict[str, PieceModel] = {}
 
@@ -61,6 +63,20 @@ class Memory(dict):
         self.clear()
 
 
+class Neighbours(dict):
+    """Whether a piece is compatible with each piece before it, tested when first asked."""
+
+    __slots__ = ("model", "piece")
+
+    def __init__(self, model: PieceModel, piece: str):
+        self.model, self.piece = model, piece
+
+    def __missing__(self, before: str) -> bool:
+        self.model.make_room()
+        out = self[before] = self.model.merged(before + self.piece) == [before, self.piece]
+        return out
+
+
 class PieceModel:
     """Encoder and decoder for one vocabulary.
 
@@ -78,10 +94,11 @@ class PieceModel:
         self.byte = [byte[b].to_bytes(4, "little") for b in range(256)]
         self.begin, self.end = (next(i for i, (p, _, _) in enumerate(vocabulary) if p == m).to_bytes(4, "little") for m in ("<s>", "</s>"))
         self.surface = pa.array([b"" if kind == "mark" else bytes([int(p[1:-1], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary], pa.large_binary())
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.neighbours, self.tested = ahocorasick.Automaton(), [], 0
         for p in self.id:
             if self.merged(p) == [p]:  # others end no text
-                self.automaton.add_word(p, (len(p), p, self.id[p].to_bytes(4, "little"), self.before(p)))
+                self.neighbours.append(Neighbours(self, p))
+                self.automaton.add_word(p, (len(p), p, self.id[p].to_bytes(4, "little"), self.neighbours[-1]))
         self.automaton.make_automaton()
         self.encoded = Memory(self.encode_segment)
         # no piece has a space mark after another character, so nothing merges across such a place
@@ -103,9 +120,13 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def before(self, piece: str) -> Memory:
-        """Which pieces are compatible with ``piece`` after them, tested when first asked."""
-        return Memory(lambda a: self.merged(a + piece) == [a, piece])
+    def make_room(self) -> None:
+        """Count a pair about to be tested; at PAIRS of them all are forgotten."""
+        if self.tested >= PAIRS:
+            for known in self.neighbours:
+                known.clear()
+            self.tested = 0
+        self.tested += 1
 
     def encode_segment(self, segment: str) -> bytes:
         """Ids as little-endian 32-bit integers. ``last[i]`` is the last piece of the first i characters; none for one that no piece has."""

@@ -248,6 +248,17 @@ def test_pieces_equal_the_library(model, text):
     assert [x.decode() for x in own.decode([own.encode(text), b"", own.begin, own.encode(text)])] == [library.decode(ids), "", "", library.decode(ids)]
 
 
+def test_forgetting_changes_nothing(model, monkeypatch):
+    own, library = model
+    monkeypatch.setattr(pieces, "PAIRS", 20)
+    monkeypatch.setattr(pieces, "MEMORY", 3)
+    own.encoded.forget()
+    for text in ("the quick brown fox jumps over the lazy dog " * 3, "über straße naïve 中文字 x\u0301", LONG[:3000]):
+        assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text)
+    assert len(own.encoded) <= 3 and len(own.encoded.older) <= 3 and own.tested <= 20
+    assert sum(map(len, own.neighbours)) <= 20
+
+
 def test_encoding(docs, nothing, model):
     got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in pieces.encode_texts(docs).collect())
     want = Counter()
