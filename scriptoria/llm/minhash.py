@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scriptoria.llm.components import components
 from scriptoria.llm.groups import over_groups
 from scriptoria.llm.kernels import LOWER, Words, mix, ngrams, slices, text_bytes
-from scriptoria.llm.scratch import stored
+from scriptoria.llm.scratch import bound_batches, stored
 
 #: 32 bands of 4 minima: at a similarity of 0.75 a pair shares no band with probability 5e-6.
 BANDS, ROWS = 32, 4
@@ -144,6 +144,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     no part in linking: component_id null, kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sig = stored(signatures(docs, k, bands, rows), "signatures")
     known = sig.where("doc_id is not null and digest is not null")

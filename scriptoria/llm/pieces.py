@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.llm.scratch import bound_batches
+
 #: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
 MEMORY, MEMORY_CHARS = 120_000, 48
 #: Tested pairs of pieces that a worker holds before it forgets them.
@@ -123,11 +125,19 @@ class PieceModel:
     def make_room(self) -> None:
         """Count a pair about to be tested; at PAIRS of them all are forgotten."""
         if self.tested >= PAIRS:
-            for known in self.neighbours:
-                known.clear()
-            self.tested = 0
+            self.forget_pairs()
         self.tested += 1
 
+    def forget_pairs(self) -> None:
+        for known in self.neighbours:
+            known.clear()
+        self.tested = 0
+
+    def forget(self) -> None:
+        """Drop all that was remembered of texts."""
+        self.encoded.forget()
+        self.forget_pairs()
+
     def encode_segment(self, segment: str) -> bytes:
         """Ids as little-endian 32-bit integers. ``last[i]`` is the last piece of the first i characters; none for one that no piece has."""
         last: list[tuple | None] = [None] * (len(segment) + 1)
@@ -177,6 +187,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
     Repeated rows each give a row, an empty table none, other columns are ignored.
     """
     path = model or default_model()
+    bound_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +200,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
                 ids = [own.begin + own.encode(text or "") + own.end for text in batch.column("text").to_pylist()]
                 n, decoded = [len(x) // 4 for x in ids], own.decode(ids)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
-        own.encoded.forget()  # the worker lives on, for other work
+        own.forget()  # the worker lives on, for other work
+        pa.default_memory_pool().release_unused()
 
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
     return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)

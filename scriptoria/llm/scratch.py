@@ -6,11 +6,15 @@ ran on it, never the chain of stages before the table.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes at most of an Arrow batch; one larger row makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder where it is unset and the master is local."""
@@ -31,6 +35,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on no Arrow batch of this session has over BATCH_ROWS rows or about BATCH_BYTES; smaller settings stay.
+
+    Executor and worker each hold a batch or two for every running task. Where rows are cut changes no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, unit = re.match(r"(-?\d+)([kmgtp]?)", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it once their results have been consumed."""
     jvm = spark.sparkContext._jvm

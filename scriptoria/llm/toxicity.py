@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import LOWER, Words, slices, text_bytes
-from scriptoria.llm.scratch import stored
+from scriptoria.llm.scratch import bound_batches, stored
 
 #: A word is learned as its first 4 bytes, the first 6 after them, and the whole after those.
 STEMS = (4, 6)
@@ -136,6 +136,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     classes every score is 0. Repeated rows each give a row.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     if held_out is not None:
         known = known.where(~held_out)
