@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.kernels import LOWER, Words, slices, text_bytes
+from scriptoria.llm.kernels import LOWER, Words, mix, slices, text_bytes
+from scriptoria.llm.lookup import looked_up
 from scriptoria.llm.scratch import bound_batches, stored
 
 #: A word is learned as its first 4 bytes, the first 6 after them, and the whole after those.
 STEMS = (4, 6)
-#: Rows of the broadcast count tables of the three levels, whatever the corpus: words are folded onto them by hash.
-BUCKETS = (1 << 15, 1 << 17, 1 << 19)
 DISCOUNT = 0.75
 #: Words in the passages whose best likelihood ratio is a feature beside that of the whole text.
 PASSAGES = (1, 4, 16)
@@ -27,6 +26,11 @@ NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
 
 
+def spellings(w: Words) -> list[np.ndarray]:
+    """The keys of each word's first 4 bytes, first 6 and whole; a short word has another key at every level."""
+    return [mix(h + np.uint64(level)) for level, h in enumerate(w.hashes(*STEMS, 1 << 40))]
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(word, six, four, toxic_0, plain_0, toxic_1, plain_1): every word's count by class and half, of ``labelled`` (text, toxic, half)."""
 
@@ -36,7 +40,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             kind = batch.column("half").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + (batch.column("toxic").to_numpy(zero_copy_only=False) != 1)
             for i, j in slices(off):
                 w = Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD)
-                four, six, word = w.hashes(*STEMS, 1 << 40)
+                four, six, word = spellings(w)
                 one, at, where = np.unique(word, return_index=True, return_inverse=True)
                 n = np.bincount(where * 4 + np.repeat(kind[i:j], w.per_doc), minlength=4 * len(one)).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), six[at].view(np.int64), four[at].view(np.int64), *n.T.copy())], names=["word", "six", "four", *COUNTS])
@@ -45,41 +49,38 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.first("six").alias("six"), F.first("four").alias("four"), *[F.sum(c).alias(c) for c in COUNTS])
 
 
-def folded(words: DataFrame, key: str, size: int) -> np.ndarray:
-    """(size, 12) counts by bucket of ``key``: occurrences by class and half, then the distinct words with any in each
+def counted(words: DataFrame) -> DataFrame:
+    """(key, c0 ... c12): the exact counts of every stem and word of ``words``: occurrences by class and half, then the distinct words with any in each
     of those four, in each class, and in both halves together for each half (the shared continuation counts), in ``COUNTS`` order."""
-    types = [F.count_if(F.col(c) > 0).alias(f"types_{c}") for c in COUNTS]
-    shared = [F.count_if(F.col("toxic_0") + F.col("plain_0") > 0).alias("shared_0"), F.count_if(F.col("toxic_1") + F.col("plain_1") > 0).alias("shared_1"), F.count("*").alias("shared")]
-    both = [F.count_if(F.col("toxic_0") + F.col("toxic_1") > 0).alias("types_toxic"), F.count_if(F.col("plain_0") + F.col("plain_1") > 0).alias("types_plain")]
-    # at most ``size`` rows reach the driver
-    got = words.groupBy(F.pmod(key, F.lit(size)).cast("int").alias("at")).agg(*[F.sum(c).alias(c) for c in COUNTS], *types, *both, *shared).toArrow()
-    out = np.zeros((size, 13), np.float32)
-    out[got.column("at").to_numpy()] = np.stack([got.column(i + 1).to_numpy() for i in range(13)], axis=1) if got.num_rows else np.zeros((0, 13))
-    return out
+    some = lambda *names: (sum((F.col(c) for c in names[1:]), F.col(names[0])) > 0).cast("long")
+    own = [*map(F.col, COUNTS), *map(some, COUNTS), some("toxic_0", "toxic_1"), some("plain_0", "plain_1"), some("toxic_0", "plain_0"), some("toxic_1", "plain_1"), F.lit(1).cast("long")]
+    wide = words.select("word", "six", "four", *[c.alias(f"c{i}") for i, c in enumerate(own)])
+    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(own))]
+    levels = [wide.groupBy(F.col(k).alias("key")).agg(*sums) for k in ("four", "six")]
+    return levels[0].unionByName(levels[1]).unionByName(wide.drop("six", "four").withColumnRenamed("word", "key"))
 
 
-def model(levels: list[np.ndarray], half: int | None) -> list[np.ndarray]:
-    """Of each level: columns count toxic, plain; types toxic, plain; shared types. Of one half, or of both."""
+def model(half: int | None) -> list[Column]:
+    """Of ``counted``: count toxic, plain; types toxic, plain; shared types. Of one half, or of both."""
+    c = [F.col(f"c{i}") for i in range(13)]
     if half is None:
-        return [np.stack([t[:, 0] + t[:, 2], t[:, 1] + t[:, 3], t[:, 8], t[:, 9], t[:, 12]], axis=1) for t in levels]
-    return [t[:, [2 * half, 2 * half + 1, 4 + 2 * half, 5 + 2 * half, 10 + half]] for t in levels]
+        return [c[0] + c[2], c[1] + c[3], c[8], c[9], c[12]]
+    return [c[2 * half], c[2 * half + 1], c[4 + 2 * half], c[5 + 2 * half], c[10 + half]]
 
 
-def ratios(tables: list[np.ndarray], four: np.ndarray, six: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """log P(word | toxic) - log P(word | plain).
+def ratios(levels: list[np.ndarray], root: np.ndarray) -> np.ndarray:
+    """log P(word | toxic) - log P(word | plain), from the counts of its 4 bytes, 6 bytes and whole and those of all words.
 
     Each level's probability, given the level above, is (count - discount + discount *
     types above * shared) / count above: interpolated Kneser-Ney, where "shared" is the share that this
-    bucket has of the distinct words of both classes below the one above. Where a class has never
+    stem has of the distinct words of both classes below the one above. Where a class has never
     seen the level above, it is "shared" alone, so that rare words tell the classes apart by their stems or not at all.
+    ``root`` ends with the number of distinct first stems.
     """
-    above = np.zeros((1, 5), np.float32)
-    above[0] = tables[0].sum(0)
-    up = np.broadcast_to(above, (len(word), 5))
-    out = np.zeros(len(word), np.float32)
-    for level, (table, h) in enumerate(zip(tables, (four, six, word))):
-        own = table[(h.view(np.int64) % len(table))]
-        shared = (own[:, 4] + 1) / (up[:, 4] + (len(table) if level == 0 else 2))
+    up = np.broadcast_to(root[:5], (len(levels[0]), 5))
+    out = np.zeros(len(levels[0]))
+    for level, own in enumerate(levels):
+        shared = (own[:, 4] + 1) / (up[:, 4] + (root[5] + 1 if level == 0 else 2))
         for c, sign in ((0, 1), (1, -1)):
             n = up[:, c]
             p = (np.maximum(own[:, c] - DISCOUNT, 0) + DISCOUNT * up[:, 2 + c] * shared) / np.maximum(n, 1)
@@ -88,10 +89,27 @@ def ratios(tables: list[np.ndarray], four: np.ndarray, six: np.ndarray, word: np
     return out
 
 
-def features(raw: np.ndarray, off: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """For each document: the ratio of the whole text and the best passage of each length, divided by their lengths; 0 without words."""
-    w = Words(LOWER[raw], off, NOT_WORD)
-    r = ratios(tables, *w.hashes(*STEMS, 1 << 40))
+def asked(texts: pa.Array) -> np.ndarray:
+    """The keys whose counts the ratios of ``texts`` are made of."""
+    raw, off = text_bytes(texts)
+    return np.concatenate([np.zeros(0, np.uint64), *[np.unique(k) for i, j in slices(off) for k in spellings(Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD))]])
+
+
+def features(texts: pa.Array, find: Callable[[np.ndarray], np.ndarray], roots: list[np.ndarray]) -> list[np.ndarray]:
+    """By model, for each document: the ratio of the whole text and the best passage of each length, divided by their lengths; 0 without words."""
+    raw, off = text_bytes(texts)
+    out = [np.zeros((len(texts), 1 + len(PASSAGES))) for _ in roots]
+    for i, j in slices(off):
+        w = Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD)
+        _, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        levels = [find(k[at]) for k in spellings(w)]
+        for m, root in enumerate(roots):
+            r = ratios([x[:, 5 * m : 5 * m + 5] for x in levels], root)[back]
+            out[m][i:j] = passages(w, r)
+    return out
+
+
+def passages(w: Words, r: np.ndarray) -> np.ndarray:
     total = np.append(0.0, np.cumsum(r, dtype=np.float64))
     out = np.zeros((len(w.per_doc), 1 + len(PASSAGES)))
     have = np.flatnonzero(w.per_doc)
@@ -129,9 +147,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     ``labels`` has doc_id and toxic (1 or 0); rows with ``held_out`` true (a condition on
     doc_id) or a null in either are not learned from, and rows with the same doc_id but different labels
     count once for each. Words are runs of letters, digits and
-    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows, word by word; the word table grows
-    with the corpus and stays distributed. It is folded by hash onto the BUCKETS rows that scoring broadcasts, so collisions of rare words grow
-    with the corpus where a frequent word keeps its counts. The weights of the features are fitted on at most ``fit_rows`` labelled
+    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows, word by word; the table of words and stems grows
+    with the corpus and stays distributed, and every block of documents gets the exact counts of its own words by shuffle. The weights of the features are fitted on at most ``fit_rows`` labelled
     rows, each scored with the counts of the half it is not in. Null and empty texts score by the intercept and zero features. Without both
     classes every score is 0. Repeated rows each give a row.
     """
@@ -144,38 +161,37 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     beside = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("doc_id", "text", "toxic", half.cast("int").alias("half"))
     half = F.shiftright(F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")), 7) % 2
     words = stored(word_counts(beside(known).where("text is not null")), "words")
-    levels = [folded(words, k, n) for k, n in zip(("four", "six", "word"), BUCKETS)]
+    table = stored(counted(words), "counts")
+    often = sum((F.col(f"c{i}") for i in range(1, 4)), F.col("c0")).alias("often")
     names = [f"f{i}" for i in range(1 + len(PASSAGES))]
-    halves = spark.sparkContext.broadcast([model(levels, 1), model(levels, 0)])
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
-            mine = batch.column("half").to_numpy(zero_copy_only=False)
-            got = [np.concatenate([features(raw[off[i] : off[j]], off[i : j + 1] - off[i], t) for i, j in slices(off)] or [np.zeros((0, len(names)))]) for t in halves.value]
-            x = np.where(mine[:, None] == 0, *got)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in x.T.copy()]], names=["toxic", *names])
+    whole = words.agg(F.count_distinct("four").alias("stems"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], *[F.count_if(sum((F.col(x) for x in c[1:]), F.col(c[0])) > 0).alias(f"n{i}") for i, c in enumerate(
+        [*[(c,) for c in COUNTS], ("toxic_0", "toxic_1"), ("plain_0", "plain_1"), ("toxic_0", "plain_0"), ("toxic_1", "plain_1"), tuple(COUNTS)])]).first()
+    whole = np.array(whole, np.float64)
+    c = whole[1:]
+    halves = [np.append(c[[2 * h, 2 * h + 1, 4 + 2 * h, 5 + 2 * h, 10 + h]], whole[0]) for h in (1, 0)]
+    both = np.array([c[0] + c[2], c[1] + c[3], c[8], c[9], c[12], whole[0]])
+
+    def measured(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        mine = batch.column("half").to_numpy(zero_copy_only=False)
+        x = np.where(mine[:, None] == 0, *features(batch.column("text"), find, halves))
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in x.T.copy()]], names=["toxic", *names])
 
     sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(fit_rows).drop("order")
-    fit = beside(stored(sample, "sample")).mapInArrow(measured, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
+    texts = beside(stored(sample, "sample")).select("toxic", "half", "text")
+    fit = looked_up(texts, table.select("key", *model(1), *model(0), often), 10, asked, measured, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
     y = (fit.column("toxic").to_numpy() == 1).astype(float)
     usable = 0 < y.sum() < len(y)
-    weights = logistic(np.stack([fit.column(n).to_numpy() for n in names], axis=1), y) if usable else None
-    both = spark.sparkContext.broadcast((model(levels, None), weights))
+    learned = logistic(np.stack([fit.column(n).to_numpy() for n in names], axis=1), y) if usable else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, learned = both.value
-        for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
-            score = np.zeros(batch.num_rows)
-            if learned is not None:
-                w, centre, scale = learned
-                for i, j in slices(off):
-                    z = (features(raw[off[i] : off[j]], off[i : j + 1] - off[i], tables) - centre) / scale
-                    score[i:j] = 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(score)], names=[*carry, "score"])
-
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, docs.select(*carry).schema.add("score", "double"))
+    def score(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        out = np.zeros(batch.num_rows)
+        if learned is not None:
+            w, centre, scale = learned
+            z = (features(batch.column("text"), find, [both])[0] - centre) / scale
+            out = 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30)))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(out)], names=[*carry, "score"])
+
+    return looked_up(docs.select(*dict.fromkeys([*carry, "text"])), table.select("key", *model(None), often), 5, asked, score, docs.select(*carry).schema.add("score", "double"))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

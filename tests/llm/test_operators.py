@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, hilbert, lempel_ziv, lines, minhash, pieces, quality, revisits, spans, toxicity
+from scriptoria.llm import decontaminate, hilbert, kernels, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
 from scriptoria.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -233,6 +233,22 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
 
 
+def test_rare_words_keep_their_own_counts(spark, monkeypatch):
+    """Two words of one stem whose hashes agree modulo 2^19, one in toxic texts and one in plain ones; without broadcast rows, and with some."""
+    words = [f"bridge{i}" for i in range(6000)]
+    raw = " ".join(words).encode()
+    low = kernels.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes() % np.uint64(1 << 19)
+    seen = {}
+    bad, good = next((seen[h], w) for h, w in zip(low.tolist(), words) if seen.setdefault(h, w) != w)
+    table = spark.createDataFrame([(i, f"{(good, bad)[i % 2]} number{i}") for i in range(80)] + [(100, bad), (101, good)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    got = []
+    for common in (0, 8):
+        monkeypatch.setattr(lookup, "COMMON", common)
+        got.append({r.doc_id: r.score for r in toxicity.toxicity_scores(table, labels).collect()})
+    assert got[0] == got[1] and got[0][100] > 0.7 > 0.3 > got[0][101]
+
+
 @pytest.fixture(scope="module")
 def model():
     path = pieces.default_model()
