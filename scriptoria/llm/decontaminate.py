@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,30 +19,30 @@ MAX_BROADCAST = 200_000
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased and nothing else."""
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.translate(w, UPPER, LOWER))
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
 def _lean(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def postings(docs: DataFrame, terms: DataFrame, n_terms: int, found_in: Callable[[Column], Column] = words) -> DataFrame:
     """The index: one row (term, key, pos) for each place of a term of ``terms`` (word, term) in ``docs`` (key, text).
 
     It is laid out by document, as the scan gives it: a document's postings are
-    made by one task and need no shuffle. Words are found in full lower case, a superset that
-    the exact comparison cuts back.
+    made by one task and need no shuffle. By default its words are
+    those of the exact comparison; what ``found_in`` does to a word must not depend on the text around it.
     """
-    found = docs.select("key", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    found = docs.select("key", F.posexplode(found_in(F.col("text"))).alias("pos", "word"))
     return found.join(_lean(terms, n_terms), "word").select("term", "key", "pos")
 
 
 def test_places(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``items`` (item_id, text): each usable row with its words and number; each place (item, at, word) in full lower case."""
+    """Of ``items`` (item_id, text): each usable row with its words and number; each place (item, at, word)."""
     named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     rows = named.withColumn("words", words(F.col("text"))).where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "words")
     rows = stored(rows, "items")
-    places = rows.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).withColumn("word", F.lower("word"))
+    places = rows.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     return rows, places.withColumn("length", F.least("n", F.lit(window)))
 
 
@@ -113,7 +115,7 @@ def proximity_matches(docs: DataFrame, first: str, second: str, within: int) ->
     """
     spark = docs.sparkSession
     terms = spark.createDataFrame([(t,) for t in {first.lower(), second.lower()}], "word string").withColumn("term", F.col("word"))
-    index = postings(docs, terms, 2)
+    index = postings(docs, terms, 2, lambda text: F.transform(words(text), lambda w: F.lower(w)))
     step = F.lit(max(1, within))
     a = index.where(F.col("term") == first.lower()).select("key", F.col("pos").alias("first_pos"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.col("pos") / step))).alias("block"))
     b = index.where(F.col("term") == second.lower()).select("key", F.col("pos").alias("second_pos"), F.floor(F.col("pos") / step).alias("block"))

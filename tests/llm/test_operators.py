@@ -121,6 +121,14 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contamination(docs, empty).where("contaminated").count() == 0
 
 
+def test_leaks_with_capital_sigma(spark):
+    """Lower-casing a whole text and its words one by one differ in a sigma before . ' or :"""
+    texts = [(1, "see ΟΔΟΣ.ΑΒ one two"), (2, "x ΟΔΟΣ'Α y ΟΔΟΣ:Α z"), (3, "Α.Σ. ends"), (4, "nothing here")]
+    items = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒ one"), (2, "ΟΔΟΣ'Α Y"), (3, "Α.Σ.")], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {1: 3, 2: 3, 3: 2, 4: 0}
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x x b x a"), (2, "a b"), (3, "b x x x x x a")], "key long, text string")
     assert rows(decontaminate.proximity_matches(df, "a", "b", 3)) == Counter([(1, 0, 3), (1, 5, 3), (2, 0, 1)])
