@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney models of words, with backoff counts that both classes share."""
+"""Toxicity by class-conditional Kneser-Ney models of word pairs, words and stems, with backoff counts that both classes share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,127 +14,276 @@ from scriptoria.llm.kernels import LOWER, Words, mix, slices, text_bytes
 from scriptoria.llm.lookup import looked_up
 from scriptoria.llm.scratch import bound_batches, stored
 
-#: A word is learned as its first 4 bytes, the first 6 after them, and the whole after those.
-STEMS = (4, 6)
-DISCOUNT = 0.75
-#: Words in the passages whose best likelihood ratio is a feature beside that of the whole text.
-PASSAGES = (1, 4, 16)
-#: Labelled rows at most to which the three feature weights are fitted; counts are taken over all of them.
+#: A word that is rare is learned from the others with its first so many bytes.
+STEM = 6
+#: Absolute discounts of words and stems, and of pairs: a pair is learned if it follows more than three different words.
+DISCOUNT, PAIR_DISCOUNT = 0.75, 3.0
+#: Share of a toxic text's words that the toxic model draws; the others are drawn by the ordinary one.
+SHARE = 0.005
+#: Labelled rows at most to which slope and cut of the score are fitted; counts are taken over all of them.
 FIT_ROWS = 20_000
+#: The score at the cut.
+AT_CUT = 0.7
 #: Label rows up to which they are broadcast to the documents; beyond, both sides are shuffled.
 MAX_BROADCAST = 500_000
+#: Bits of a sieve, whatever the corpus; a full one lets all keys through and changes no result.
+SIEVE_BITS = 26
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
+#: Of both halves of the labelled rows and of each: numbers of a row of ``counted``.
+WIDTH = 5
 
 
-def spellings(w: Words) -> list[np.ndarray]:
-    """The keys of each word's first 4 bytes, first 6 and whole; a short word has another key at every level."""
-    return [mix(h + np.uint64(level)) for level, h in enumerate(w.hashes(*STEMS, 1 << 40))]
+class Terms:
+    """Keys of the words of a slice: of each word's stem, itself, itself as a context (32 bits), and the pair that it ends; which words open a text, and which are shorter than a stem."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray):
+        self.words = w = Words(LOWER[raw], off, NOT_WORD)
+        stem, word = w.hashes(STEM, 1 << 40)
+        self.stem, self.word = mix(stem + np.uint64(1)), mix(word + np.uint64(2))
+        self.short = self.word >> np.uint64(32)
+        self.brief = w.end - w.start < STEM
+        self.opens = np.zeros(len(word), bool)
+        self.opens[w.first[:-1][w.per_doc > 0]] = True
+        self.pair = self.short.copy()
+        self.pair[1:] |= self.short[:-1] << np.uint64(32)
+
+    def before(self) -> np.ndarray:
+        """27 bits of the word before each pair; 0 at a text's start."""
+        out = np.zeros(len(self.word), np.int64)
+        out[2:] = (self.short[:-2] & np.uint64(2**27 - 1)).astype(np.int64)
+        out[1:][self.opens[:-1]] = 0
+        return out
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def sieve(slots: DataFrame) -> np.ndarray:
+    """Bits by slot, of the column slot: at most 2 ** SIEVE_BITS / 8 bytes, however many rows."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = slot(keys)
+    return bits[at >> 6] >> (at & 63) & 1 == 1
+
+
+def kinds(batch: pa.RecordBatch) -> np.ndarray:
+    """Each row's place in COUNTS."""
+    return batch.column("half").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + (batch.column("toxic").to_numpy(zero_copy_only=False) != 1)
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, six, four, toxic_0, plain_0, toxic_1, plain_1): every word's count by class and half, of ``labelled`` (text, toxic, half)."""
+    """(word, stem, slot, toxic_0, plain_0, toxic_1, plain_1): every word's count by class and half, of ``labelled`` (text, toxic, half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
-            kind = batch.column("half").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + (batch.column("toxic").to_numpy(zero_copy_only=False) != 1)
+            kind = kinds(batch)
             for i, j in slices(off):
-                w = Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD)
-                four, six, word = spellings(w)
-                one, at, where = np.unique(word, return_index=True, return_inverse=True)
-                n = np.bincount(where * 4 + np.repeat(kind[i:j], w.per_doc), minlength=4 * len(one)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), six[at].view(np.int64), four[at].view(np.int64), *n.T.copy())], names=["word", "six", "four", *COUNTS])
-
-    part = labelled.select("text", "toxic", "half").mapInArrow(run, "word long, six long, four long, " + ", ".join(f"{c} long" for c in COUNTS))
-    return part.groupBy("word").agg(F.first("six").alias("six"), F.first("four").alias("four"), *[F.sum(c).alias(c) for c in COUNTS])
-
-
-def counted(words: DataFrame) -> DataFrame:
-    """(key, c0 ... c12): the exact counts of every stem and word of ``words``: occurrences by class and half, then the distinct words with any in each
-    of those four, in each class, and in both halves together for each half (the shared continuation counts), in ``COUNTS`` order."""
-    some = lambda *names: (sum((F.col(c) for c in names[1:]), F.col(names[0])) > 0).cast("long")
-    own = [*map(F.col, COUNTS), *map(some, COUNTS), some("toxic_0", "toxic_1"), some("plain_0", "plain_1"), some("toxic_0", "plain_0"), some("toxic_1", "plain_1"), F.lit(1).cast("long")]
-    wide = words.select("word", "six", "four", *[c.alias(f"c{i}") for i, c in enumerate(own)])
-    sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(own))]
-    levels = [wide.groupBy(F.col(k).alias("key")).agg(*sums) for k in ("four", "six")]
-    return levels[0].unionByName(levels[1]).unionByName(wide.drop("six", "four").withColumnRenamed("word", "key"))
-
-
-def model(half: int | None) -> list[Column]:
-    """Of ``counted``: count toxic, plain; types toxic, plain; shared types. Of one half, or of both."""
-    c = [F.col(f"c{i}") for i in range(13)]
-    if half is None:
-        return [c[0] + c[2], c[1] + c[3], c[8], c[9], c[12]]
-    return [c[2 * half], c[2 * half + 1], c[4 + 2 * half], c[5 + 2 * half], c[10 + half]]
-
-
-def ratios(levels: list[np.ndarray], root: np.ndarray) -> np.ndarray:
-    """log P(word | toxic) - log P(word | plain), from the counts of its 4 bytes, 6 bytes and whole and those of all words.
-
-    Each level's probability, given the level above, is (count - discount + discount *
-    types above * shared) / count above: interpolated Kneser-Ney, where "shared" is the share that this
-    stem has of the distinct words of both classes below the one above. Where a class has never
-    seen the level above, it is "shared" alone, so that rare words tell the classes apart by their stems or not at all.
-    ``root`` ends with the number of distinct first stems.
+                t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                one, at, where = np.unique(t.word, return_index=True, return_inverse=True)
+                n = np.bincount(where * 4 + np.repeat(kind[i:j], t.words.per_doc), minlength=4 * len(one)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), t.stem[at].view(np.int64), slot(one).astype(np.int32), *n.T.copy())], names=["word", "stem", "slot", *COUNTS])
+
+    part = labelled.select("text", "toxic", "half").mapInArrow(run, "word long, stem long, slot int, " + ", ".join(f"{c} long" for c in COUNTS))
+    return part.groupBy("word").agg(F.first("stem").alias("stem"), F.first("slot").alias("slot"), *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def pair_counts(labelled: DataFrame, frequent: Broadcast, least: float = PAIR_DISCOUNT) -> DataFrame:
+    """(pair, slot, the four of COUNTS, toxic, plain): after how many different words each pair occurs, by class and half and by class; of pairs
+    with more than ``least`` in a class. ``frequent`` is a sieve that lets all words through that either class has more often than that.
+
+    Rows are sorted and worked through as a stream; one pair's different words before it are held at a time.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_bytes(batch.column("text"))
+            kind = kinds(batch)
+            keys, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, j in slices(off):
+                t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                often = passes(frequent.value, t.word)
+                take = ~t.opens & often
+                take[1:] &= often[:-1]
+                keys.append(t.pair[take])
+                tails.append((t.before() << 4 | 1 << np.repeat(kind[i:j], t.words.per_doc))[take])
+            key, tail = np.concatenate(keys), np.concatenate(tails)
+            by = np.lexsort((tail, key))
+            key, tail = key[by], tail[by]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(tail[new].astype(np.int32))], names=["pair", "tail"])
+
+    def counted_pairs(key: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        word = tail >> 4
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])))
+        mask, key = np.bitwise_or.reduceat(tail & 15, new), key[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = [np.add.reduceat((mask & bits > 0).astype(np.int64), first) for bits in (1, 2, 4, 8, 5, 10)]
+        keep = np.maximum(n[4], n[5]) > least
+        key = key[first][keep]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(slot(key.view(np.uint64)).astype(np.int32)), *[pa.array(x[keep]) for x in n]], names=["pair", "slot", *COUNTS, "toxic", "plain"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key = np.append(key, batch.column("pair").to_numpy())
+            tail = np.append(tail, batch.column("tail").to_numpy())
+            if not len(key):
+                continue
+            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if last:
+                yield counted_pairs(key[:last], tail[:last])
+            key = key[last:]
+            tail = np.unique(tail[last:])
+            key = key[: len(tail)]
+        if len(key):
+            yield counted_pairs(key, tail)
+
+    spark = labelled.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = labelled.select("text", "toxic", "half").mapInArrow(emit, "pair long, tail int")
+    schema = "pair long, slot int, " + ", ".join(f"{c} long" for c in [*COUNTS, "toxic", "plain"])
+    return events.repartition(n, "pair").sortWithinPartitions("pair", "tail").mapInArrow(count, schema)
+
+
+def counted(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, 5 numbers each of both halves, half 0 and half 1, often): all that a model's ratios are made of.
+
+    Of a stem: occurrences in toxic and ordinary texts, different words in each, different words in either (the shared counts). Of a word:
+    occurrences in each. Of a context: occurrences in each, and what its pairs keep of them after the discount. Of a pair: different
+    words before it in each.
     """
-    up = np.broadcast_to(root[:5], (len(levels[0]), 5))
-    out = np.zeros(len(levels[0]))
-    for level, own in enumerate(levels):
-        shared = (own[:, 4] + 1) / (up[:, 4] + (root[5] + 1 if level == 0 else 2))
-        for c, sign in ((0, 1), (1, -1)):
-            n = up[:, c]
-            p = (np.maximum(own[:, c] - DISCOUNT, 0) + DISCOUNT * up[:, 2 + c] * shared) / np.maximum(n, 1)
-            out += sign * np.log(np.where(n > 0, np.maximum(p, 1e-12), shared))
-        up = own
+    zero = F.lit(0).cast("long")
+    c = {n: F.col(n) for n in COUNTS}
+    sets = [("toxic_0", "toxic_1"), ("plain_0", "plain_1")], [("toxic_0",), ("plain_0",)], [("toxic_1",), ("plain_1",)]
+    total = lambda names: sum((c[n] for n in names[1:]), c[names[0]])
+    some = lambda names: F.sum((total(names) > 0).cast("long"))
+    names = [f"c{i}" for i in range(3 * WIDTH)]
+    named = lambda columns: [x.cast("long").alias(n) for x, n in zip(columns, names)]
+    whole = total(COUNTS).alias("often")
+    stems = words.groupBy(F.col("stem").alias("key")).agg(*named([x for t, p in sets for x in (F.sum(total(t)), F.sum(total(p)), some(t), some(p), some(t + p))]), F.sum(whole).alias("often"))
+    own = words.select(F.col("word").alias("key"), *named([x for t, p in sets for x in (total(t), total(p), zero, zero, zero)]), whole)
+    after = pairs.select(F.col("pair").alias("key"), *named([x for t, p in ((("toxic",), ("plain",)), *sets[1:]) for x in (F.col(t[0]), F.col(p[0]), zero, zero, zero)]), (F.col("toxic") + F.col("plain")).alias("often"))
+    context = lambda key: F.shiftrightunsigned(key, 32).alias("key")
+    seen = words.select(context("word"), *named([x for t, p in sets for x in (total(t), total(p), zero, zero, zero)]), whole)
+    keeps = lambda n: F.greatest(F.col(n) - int(PAIR_DISCOUNT), zero)
+    kept = pairs.select(context("pair"), *named([x for t, p in (("toxic", "plain"), COUNTS[:2], COUNTS[2:]) for x in (zero, zero, keeps(t), keeps(p), zero)]), zero.alias("often"))
+    contexts = seen.unionByName(kept).groupBy("key").agg(*[F.sum(n).alias(n) for n in [*names, "often"]])
+    return stems.unionByName(own).unionByName(after).unionByName(contexts)
+
+
+def roots(words: DataFrame) -> list[np.ndarray]:
+    """Of both halves, half 0 and half 1: occurrences in toxic and ordinary texts, different stems in each, different words and stems in either."""
+    c = {n: F.col(n) for n in COUNTS}
+    out = []
+    for t, p in (("toxic_0", "toxic_1"), ("plain_0", "plain_1")), (("toxic_0",), ("plain_0",)), (("toxic_1",), ("plain_1",)):
+        n_toxic, n_plain = (sum((c[n] for n in x[1:]), c[x[0]]) for x in (t, p))
+        by = words.groupBy("stem").agg(F.sum(n_toxic).alias("t"), F.sum(n_plain).alias("p"), F.count_if(n_toxic + n_plain > 0).alias("w"))
+        row = by.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in "tp"], *[F.count_if(F.col(x) > 0) for x in "tp"], F.coalesce(F.sum("w"), F.lit(0)), F.count_if(F.col("w") > 0)).first()
+        out.append(np.array(row, np.float64))
     return out
 
 
-def asked(texts: pa.Array) -> np.ndarray:
-    """The keys whose counts the ratios of ``texts`` are made of."""
-    raw, off = text_bytes(texts)
-    return np.concatenate([np.zeros(0, np.uint64), *[np.unique(k) for i, j in slices(off) for k in spellings(Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD))]])
+def chances(stem: np.ndarray, word: np.ndarray, brief: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+    """P(word) in toxic and in ordinary texts, from the rows of the words and their stems: interpolated Kneser-Ney.
 
+    P(stem) P(word | stem), each of which is (count - DISCOUNT) / count above and, for what the discounts leave, the share of the
+    different words of both classes: (different words + 1) / (different words above + continuations above + 1), where the one more is for what was never seen. So the
+    chances of all words and of one never seen below each stem, and one below none, sum to 1. A class that never has the stem takes the share itself.
+    Words shorter than a stem (``brief``) are the only ones of theirs.
+    """
+    out = []
+    first = (stem[:, 4] + 1) / (root[4] + root[5] + 1)
+    then = np.where(word[:, 0] + word[:, 1] > 0, 2, 1) / (2 * stem[:, 4] + 1)
+    for c in (0, 1):
+        p = np.ones(len(word))
+        for own, n, types, shared in ((stem[:, c], root[c], root[2 + c], first), (word[:, c], stem[:, c], stem[:, 2 + c], then)):
+            step = np.where(n > 0, (np.maximum(own - DISCOUNT, 0) + DISCOUNT * types * shared) / np.maximum(n, 1), shared)
+            p *= step if shared is first else np.where(brief, 1, step)
+        out.append(p)
+    return out
 
-def features(texts: pa.Array, find: Callable[[np.ndarray], np.ndarray], roots: list[np.ndarray]) -> list[np.ndarray]:
-    """By model, for each document: the ratio of the whole text and the best passage of each length, divided by their lengths; 0 without words."""
-    raw, off = text_bytes(texts)
-    out = [np.zeros((len(texts), 1 + len(PASSAGES))) for _ in roots]
-    for i, j in slices(off):
-        w = Words(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i], NOT_WORD)
-        _, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        levels = [find(k[at]) for k in spellings(w)]
-        for m, root in enumerate(roots):
-            r = ratios([x[:, 5 * m : 5 * m + 5] for x in levels], root)[back]
-            out[m][i:j] = passages(w, r)
+
+def after_context(p: np.ndarray, pair: np.ndarray, seen: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """P(word | word before) in a class: the pair's count after the discount, of ``seen`` contexts, and ``p`` for what pairs do not keep of them."""
+    n = np.maximum(seen, 1)
+    return np.where(seen > 0, np.maximum(pair - PAIR_DISCOUNT, 0) / n + (1 - kept / n) * p, p)
+
+
+def ratios(t: Terms, find: Callable[[np.ndarray], np.ndarray], models: list[np.ndarray], allowed: np.ndarray) -> list[np.ndarray]:
+    """By model, of each word: log of how much likelier a toxic text, SHARE of whose words the toxic model draws, has it than an ordinary one."""
+    _, at, back = np.unique(t.word, return_index=True, return_inverse=True)
+    stem, word, context = (find(k[at]) for k in (t.stem, t.word, t.short))
+    spots = np.flatnonzero(~t.opens)
+    known = spots[passes(allowed, t.pair[spots])]
+    pairs, where = np.unique(t.pair[known], return_inverse=True)
+    after = find(pairs)
+    before = np.append(0, back[:-1])[: len(back)]
+    out = []
+    for m, root in enumerate(models):
+        own = slice(WIDTH * m, WIDTH * m + WIDTH)
+        both = []
+        for c, p in enumerate(chances(stem[:, own], word[:, own], t.brief[at], root)):
+            n = np.zeros(len(back))
+            n[known] = after[:, own][where, c]
+            seen, kept = (np.where(t.opens, 0, context[:, own][before, k]) for k in (c, 2 + c))
+            both.append(after_context(p[back], n, seen, kept))
+        out.append(np.log(1 - SHARE + SHARE * both[0] / both[1]))
     return out
 
 
-def passages(w: Words, r: np.ndarray) -> np.ndarray:
-    total = np.append(0.0, np.cumsum(r, dtype=np.float64))
-    out = np.zeros((len(w.per_doc), 1 + len(PASSAGES)))
-    have = np.flatnonzero(w.per_doc)
-    begin, end = w.first[have], w.first[have + 1]
-    out[have, 0] = (total[end] - total[begin]) / (end - begin)
-    stop = np.repeat(end, end - begin)
-    for k, n in enumerate(PASSAGES):
-        spot = np.arange(len(r))
-        to = np.minimum(spot + n, stop)
-        if len(have):
-            out[have, k + 1] = np.maximum.reduceat((total[to] - total[spot]) / n, begin)
+def features(texts: pa.Array, find: Callable[[np.ndarray], np.ndarray], models: list[np.ndarray], allowed: np.ndarray) -> list[np.ndarray]:
+    """By model, each document's log likelihood ratio divided by its number of words; 0 without words."""
+    raw, off = text_bytes(texts)
+    out = [np.zeros(len(texts)) for _ in models]
+    for i, j in slices(off):
+        t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        n = t.words.per_doc
+        have = np.flatnonzero(n)
+        for x, r in zip(out, ratios(t, find, models, allowed) if len(have) else ()):
+            x[i + have] = np.add.reduceat(r, t.words.first[have]) / n[have]
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (the intercept first), and the centre and scale of the features, by Newton steps."""
-    centre, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.c_[np.ones(len(x)), (x - centre) / scale]
-    w = np.zeros(z.shape[1])
+def asked(texts: pa.Array, allowed: np.ndarray) -> np.ndarray:
+    """The keys whose counts the ratios of ``texts`` are made of."""
+    raw, off = text_bytes(texts)
+    out = [np.zeros(0, np.uint64)]
+    for i, j in slices(off):
+        t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        word, at = np.unique(t.word, return_index=True)
+        pairs = t.pair[~t.opens]
+        out += [np.unique(t.stem[at]), word, np.unique(t.short[at]), np.unique(pairs[passes(allowed, pairs)])]
+    return np.concatenate(out)
+
+
+def slope(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> float:
+    """Of the logistic curve that tells y by x, by Newton steps; above 0."""
+    scale = x.std() + 1e-9
+    z = np.c_[np.ones(len(x)), (x - x.mean()) / scale]
+    w = np.zeros(2)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, z.T @ (y - p) - ridge * w)
-    return w, centre, scale
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+    return max(w[1], 1e-3) / scale
+
+
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """Between the two values of x where y is told best, by the harmonic mean of precision and recall, by x being above."""
+    by = np.argsort(-x, kind="stable")
+    x, hits = x[by], np.cumsum(y[by])
+    f = 2 * hits / (np.arange(1, len(x) + 1) + y.sum())
+    f[:-1][x[:-1] == x[1:]] = -1
+    at = int(f.argmax())
+    return float((x[at] + x[min(at + 1, len(x) - 1)]) / 2)
 
 
 def crc_left(doc_id: Column, n: int) -> Column:
@@ -142,60 +292,68 @@ def crc_left(doc_id: Column, n: int) -> Column:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): the columns ``carry`` and score, the probability that it is toxic; other columns are ignored.
+    """Per row of ``docs`` (doc_id, text): the columns ``carry`` and score, from 0 to 1 and higher for a toxic text; other columns are ignored.
+
+    The score rises with the log likelihood ratio of the toxic and the ordinary model, divided by the number of words. Both are interpolated
+    Kneser-Ney models: a word given the word before, backing off to the word, then to its first 6 bytes, then to counts of different words that
+    both classes share. A toxic text is taken to have SHARE of its words from the toxic model and the others from the ordinary one, so that
+    words that chance put into few texts weigh little.
 
     ``labels`` has doc_id and toxic (1 or 0); rows with ``held_out`` true (a condition on
     doc_id) or a null in either are not learned from, and rows with the same doc_id but different labels
     count once for each. Words are runs of letters, digits and
-    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows, word by word; the table of words and stems grows
-    with the corpus and stays distributed, and every block of documents gets the exact counts of its own words by shuffle. The weights of the features are fitted on at most ``fit_rows`` labelled
-    rows, each scored with the counts of the half it is not in. Null and empty texts score by the intercept and zero features. Without both
-    classes every score is 0. Repeated rows each give a row.
+    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows; their table grows
+    with the corpus and stays distributed, and every block of documents gets the exact counts of its own words by shuffle. The curve's slope, and the ratio
+    at which the score is AT_CUT (that of the best F1), are fitted on at most ``fit_rows`` labelled
+    rows, each measured with the counts of the half it is not in. Null and empty texts have the ratio 0. Without both
+    classes every score is 0. Repeated rows each give a row, an empty table none. A very long text is worked through whole, in memory of some hundred
+    times its length; a column of ``docs`` named score can be in ``carry`` only under another name (ValueError).
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    if "score" in carry:
+        raise ValueError("rename the column score: the result has one")
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     if held_out is not None:
         known = known.where(~held_out)
     known = stored(known, "labels")
-    beside = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("doc_id", "text", "toxic", half.cast("int").alias("half"))
     half = F.shiftright(F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")), 7) % 2
-    words = stored(word_counts(beside(known).where("text is not null")), "words")
-    table = stored(counted(words), "counts")
-    often = sum((F.col(f"c{i}") for i in range(1, 4)), F.col("c0")).alias("often")
-    names = [f"f{i}" for i in range(1 + len(PASSAGES))]
-    whole = words.agg(F.count_distinct("four").alias("stems"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], *[F.count_if(sum((F.col(x) for x in c[1:]), F.col(c[0])) > 0).alias(f"n{i}") for i, c in enumerate(
-        [*[(c,) for c in COUNTS], ("toxic_0", "toxic_1"), ("plain_0", "plain_1"), ("toxic_0", "plain_0"), ("toxic_1", "plain_1"), tuple(COUNTS)])]).first()
-    whole = np.array(whole, np.float64)
-    c = whole[1:]
-    halves = [np.append(c[[2 * h, 2 * h + 1, 4 + 2 * h, 5 + 2 * h, 10 + h]], whole[0]) for h in (1, 0)]
-    both = np.array([c[0] + c[2], c[1] + c[3], c[8], c[9], c[12], whole[0]])
+    beside = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("doc_id", "text", "toxic", half.cast("int").alias("half"))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    labelled = beside(known).where("text is not null")
+    words = stored(word_counts(labelled), "words")
+    either = [F.col(COUNTS[k]) + F.col(COUNTS[k + 2]) > int(PAIR_DISCOUNT) for k in (0, 1)]
+    frequent = spark.sparkContext.broadcast(sieve(words.where(either[0] | either[1]).select("slot")))
+    pairs = stored(pair_counts(labelled, frequent), "pairs")
+    frequent.unpersist()
+    allowed = spark.sparkContext.broadcast(sieve(pairs.select("slot")))
+    table = stored(counted(words, pairs), "counts")
+    both, *halves = roots(words)
 
     def measured(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
         mine = batch.column("half").to_numpy(zero_copy_only=False)
-        x = np.where(mine[:, None] == 0, *features(batch.column("text"), find, halves))
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in x.T.copy()]], names=["toxic", *names])
+        x = features(batch.column("text"), find, halves, allowed.value)
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.where(mine == 0, x[1], x[0]))], names=["toxic", "ratio"])
 
+    wants = lambda texts: asked(texts, allowed.value)
     sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(fit_rows).drop("order")
     texts = beside(stored(sample, "sample")).select("toxic", "half", "text")
-    fit = looked_up(texts, table.select("key", *model(1), *model(0), often), 10, asked, measured, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow()
-    y = (fit.column("toxic").to_numpy() == 1).astype(float)
-    usable = 0 < y.sum() < len(y)
-    learned = logistic(np.stack([fit.column(n).to_numpy() for n in names], axis=1), y) if usable else None
+    columns = [f"c{i}" for i in range(3 * WIDTH)]
+    fit = looked_up(texts, table.select("key", *columns[WIDTH:], "often"), 2 * WIDTH, wants, measured, "toxic int, ratio double").toArrow()
+    y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
+    learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
 
     def score(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
         out = np.zeros(batch.num_rows)
         if learned is not None:
-            w, centre, scale = learned
-            z = (features(batch.column("text"), find, [both])[0] - centre) / scale
-            out = 1 / (1 + np.exp(-np.clip(w[0] + z @ w[1:], -30, 30)))
+            x = features(batch.column("text"), find, [both], allowed.value)[0]
+            out = 1 / (1 + np.exp(-np.clip((x - learned[1]) * learned[0] + np.log(AT_CUT / (1 - AT_CUT)), -30, 30)))
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(out)], names=[*carry, "score"])
 
-    return looked_up(docs.select(*dict.fromkeys([*carry, "text"])), table.select("key", *model(None), often), 5, asked, score, docs.select(*carry).schema.add("score", "double"))
+    return looked_up(docs.select(*dict.fromkeys([*carry, "text"])), table.select("key", *columns[:WIDTH], "often"), WIDTH, wants, score, docs.select(*carry).schema.add("score", "double"))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     left_out = crc_left(F.col("doc_id"), 3) == 1
     out = toxicity_scores(docs, labels, left_out)
-    return out.select("doc_id", left_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", left_out.alias("held_out"), "score", (F.col("score") >= AT_CUT).cast("int").alias("predicted"))

@@ -8,13 +8,14 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, hilbert, kernels, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
+from scriptoria.llm import decontaminate, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
 from scriptoria.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -236,27 +237,116 @@ def test_toxicity(spark, docs, nothing):
     labels = spark.createDataFrame([(i, int(i >= 60), 3) for i in range(120)] + [(None, 1, 1), (501, None, 1), (900, 1, 1)], "doc_id long, toxic int, score int")
     got = {(r.doc_id, r.score) for r in toxicity.toxicity_scores(table, labels).collect()}
     by = dict(got)
-    assert min(by[500], by[None]) > max(0.5, *[s for i, s in got if i is not None and i < 60]) and by[501] < 0.3 and len([i for i, _ in got if i == 502]) == 1
+    assert min(by[500], by[None]) > max(s for i, s in got if i is not None and i < 60) and by[501] < 0.3 and len([i for i, _ in got if i == 502]) == 1
     assert toxicity.toxicity_scores(docs, labels.where("toxic = 0")).where("score <> 0").count() == 0
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
 
 
+SENTENCES = [(("you {} number {} go away", "what a {} thing {}", "go {} now {} go")[i % 3].format(("idiot", "moron", "idiotic", "bridge")[i % 4], i), 1) for i in range(20)]
+SENTENCES += [(("the house number {} is by the lake {}", "a bridge {} and an ideal {} thing", "the lake {} the lake {}")[i % 3].format(i, i % 7), 0) for i in range(30)]
+
+
+def kneser_ney(texts, learned):
+    """Chances of words given the word before, in toxic and ordinary texts, and each text's ratio, by dictionaries."""
+    split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.lower().encode())
+    words, pairs = (defaultdict(Counter), defaultdict(lambda: defaultdict(set)))
+    for t, y in learned:
+        w = split(t)
+        words[y].update(w)
+        for k in range(1, len(w)):
+            pairs[y][w[k - 1], w[k]].add(w[k - 2] if k > 1 else None)
+    either = set(words[0]) | set(words[1])
+    stems = {w[:6] for w in either}
+
+    def alone(w, y):
+        n = sum(words[y].values())
+        own, below = sum(c for x, c in words[y].items() if x[:6] == w[:6]), {x for x in either if x[:6] == w[:6]}
+        p = (len(below) + 1) / (len(either) + len(stems) + 1)
+        p = (max(own - 0.75, 0) + 0.75 * len({x[:6] for x in words[y]}) * p) / n
+        q = (2 if w in either else 1) / (2 * len(below) + 1) if len(w) > 5 else 1
+        if own and len(w) > 5:
+            q = (max(words[y][w] - 0.75, 0) + 0.75 * len({x for x in words[y] if x[:6] == w[:6]}) * q) / own
+        return p * q
+
+    def after(v, w, y):
+        n = words[y][v] if v else 0
+        kept = {p: max(len(u) - 3, 0) for p, u in pairs[y].items() if p[0] == v}
+        return alone(w, y) if not n else kept.get((v, w), 0) / n + (1 - sum(kept.values()) / n) * alone(w, y)
+
+    out = []
+    for t in texts:
+        w = split(t)
+        out.append(np.mean([np.log(0.995 + 0.005 * after(v, x, 1) / after(v, x, 0)) for v, x in zip([None, *w], w)]) if w else 0.0)
+    unseen = [*(s + b"~~~~~~~~" for s in stems if len(s) > 5), b"~~~~~~~~"]
+    sums = [sum(after(v, w, y) for w in [*either, *unseen]) for y in (0, 1) for v in (None, b"go", b"the", b"you", b"never")]
+    return out, sums
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """Ratios from every labelled row's counts, against dictionaries; the chances sum to 1."""
+    texts = [t for t, _ in SENTENCES] + ["You IDIOT, go!", "the ideal lake", "idiots", "neverseen", "go go go go", ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int")
+    words = toxicity.word_counts(labelled).cache()
+    all_words = np.full(1 << (toxicity.SIEVE_BITS - 6), -1, np.int64)
+    pairs = toxicity.pair_counts(labelled, spark.sparkContext.broadcast(all_words)).cache()
+    assert pairs.count() > 1
+    rows_ = toxicity.counted(words, pairs).drop("often").collect()
+    have = {r[0] & (2**64 - 1): r[1:] for r in rows_}
+    assert len(have) == len(rows_)
+    column = pa.array(texts)
+    for model, half in enumerate((None, 0, 1)):
+        learned = [x for i, x in enumerate(SENTENCES) if half is None or i % 2 == half]
+        want, sums = kneser_ney(texts, learned)
+        assert np.allclose(sums, 1)
+        find = lambda k, m=model: np.array([have.get(int(x), (0,) * 15)[5 * m : 5 * m + 5] for x in k], np.float64).reshape(-1, 5)
+        got = toxicity.features(column, find, [toxicity.roots(words)[model]], all_words)[0]
+        assert np.allclose(got, want)
+        assert np.allclose(got, toxicity.features(column, find, [toxicity.roots(words)[model]], toxicity.sieve(pairs))[0])
+    known = {int(x) for x in toxicity.asked(column, all_words)}
+    assert set(have) <= known | {0}
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(SENTENCES)], "doc_id long, toxic int")
+    by = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, labels).collect()}
+    whole = dict(enumerate(kneser_ney(texts, SENTENCES)[0]))
+    order = sorted(by, key=lambda i: (whole[i], i))
+    assert all(by[i] <= by[j] + 1e-9 for i, j in zip(order, order[1:]))
+
+
+def test_pairs_are_counted_by_words_before(spark):
+    """A pair after four different words in a class is learned, one that a copied passage repeats is not."""
+    texts = [(f"w{i} bad pair", 1, i % 2) for i in range(4)] + [("same bad copy", 1, 0)] * 9 + [(f"w{i} bad copy", 0, 0) for i in range(3)]
+    labelled = spark.createDataFrame(texts, "text string, toxic int, half int").repartition(5)
+    bits = spark.sparkContext.broadcast(np.full(1 << (toxicity.SIEVE_BITS - 6), -1, np.int64))
+    got = toxicity.pair_counts(labelled, bits).drop("pair", "slot").collect()
+    assert [tuple(r) for r in got] == [(2, 0, 2, 0, 4, 0)]
+
+
 def test_rare_words_keep_their_own_counts(spark, monkeypatch):
-    """Two words of one stem whose hashes agree modulo 2^19, one in toxic texts and one in plain ones; without broadcast rows, and with some."""
-    words = [f"bridge{i}" for i in range(6000)]
-    raw = " ".join(words).encode()
-    low = kernels.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes() % np.uint64(1 << 19)
-    seen = {}
-    bad, good = next((seen[h], w) for h, w in zip(low.tolist(), words) if seen.setdefault(h, w) != w)
+    """Two words of one stem, one in toxic texts and one in plain ones, many parts; without broadcast rows, and with some."""
+    bad, good = "bridge17", "bridge4711"
     table = spark.createDataFrame([(i, f"{(good, bad)[i % 2]} number{i}") for i in range(80)] + [(100, bad), (101, good)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     got = []
     for common in (0, 8):
         monkeypatch.setattr(lookup, "COMMON", common)
+        monkeypatch.setattr(lookup, "PART_ROWS", 20)
         got.append({r.doc_id: r.score for r in toxicity.toxicity_scores(table, labels).collect()})
     assert got[0] == got[1] and got[0][100] > 0.7 > 0.3 > got[0][101]
 
 
+def test_toxicity_carries_names(docs):
+    with pytest.raises(ValueError):
+        toxicity.toxicity_scores(docs, docs.selectExpr("doc_id", "label toxic"), carry=("doc_id", "score"))
+
+
+def test_held_out_toxicity(spark):
+    """Over 0.8 F1 at the contract's cut on rows whose labels were not learned from."""
+    d = DATA.replace("sf0.001", "sf0.01")
+    got = toxicity.op8_query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    n = Counter((r.predicted, r.toxic) for r in got.collect())
+    assert 2 * n[1, 1] / (2 * n[1, 1] + n[0, 1] + n[1, 0]) > 0.8
+
+
 @pytest.fixture(scope="module")
 def model():
     path = pieces.default_model()
