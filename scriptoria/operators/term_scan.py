@@ -30,19 +30,19 @@ def term_scan(docs: DataFrame, key: str, terms: list[str], cap: int | None = PAG
 
     The first of the first ``cap`` pages (all, if None) that contains the term gives page_no and, on one
     line, snippet: the "page", or what is left of it from the "match" on. Both are null for
-    a miss. Terms are literal, may repeat and keep their order. The plan is one
-    narrow stage without an exchange; pages stay in their document's row.
+    a miss. Terms are literal, may repeat and keep their order; without any, a document has one row with a null term. The plan is one
+    narrow stage without an exchange; pages stay in their document's row. The cap goes along as metadata of page_no, for the report.
     """
     if snippet not in ("page", "match"):
         raise ValueError("snippet is page or match")
     listed = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    rows = docs.select(key, F.size("pages").alias("pages"), (F.slice("pages", 1, cap) if cap is not None else F.col("pages")).alias("head"), F.posexplode(listed).alias("term_ord", "term"))
+    rows = docs.select(key, F.size("pages").alias("pages"), (F.slice("pages", 1, cap) if cap is not None else F.col("pages")).alias("head"), F.posexplode_outer(listed).alias("term_ord", "term"))
     rows = rows.withColumn("page_no", first_page(F.col("head"), F.col("term"), case_sensitive))
     page = F.get("head", F.col("page_no") - 1)
     if snippet == "match":
         fold = (lambda c: c) if case_sensitive else F.lower
         page = F.substr(page, F.instr(fold(page), fold(F.col("term"))))
-    return rows.select(key, "pages", "term_ord", "term", "page_no", one_line(page).alias("snippet"))
+    return rows.select(key, "pages", "term_ord", "term", F.col("page_no").alias("page_no", metadata={"cap": cap or 0}), one_line(page).alias("snippet"))
 
 
 def in_path_order(docs: DataFrame, path: str) -> DataFrame:

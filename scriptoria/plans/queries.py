@@ -46,7 +46,12 @@ def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stores-{uuid.uuid4().hex}"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp()
+    return f"{found}/stores-{uuid.uuid4().hex}"
 
 
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,24 @@ def text_pages(content: bytes) -> list[str]:
 
 
 def extract_pages(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]] = text_pages) -> DataFrame:
-    """(path, pages) of every file in the tree; ``extract`` makes pages of a file's bytes, so formats such as PDF need a function that brings its own library."""
+    """(path, pages, error) of every file in the tree; ``extract`` makes pages of a file's bytes, so formats such as PDF need a function that brings its own library.
+
+    A file at which ``extract`` fails has no pages, and what it raised as its error; the others' error is null.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
 
+    def tried(content: bytes) -> tuple[list[str], str | None]:
+        try:
+            return extract(content), None
+        except Exception as e:  # whatever a library raises at a broken file
+            return [], f"{type(e).__name__}: {e}"
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"path": part["path"], "pages": [extract(bytes(c)) for c in part["content"]]})
+            got = [tried(bytes(c)) for c in part["content"]]
+            yield pd.DataFrame({"path": part["path"], "pages": [p for p, _ in got], "error": pd.Series([e for _, e in got], dtype=object)})
 
     named = files.select(F.substr(path, F.instr(path, F.lit(root + "/")) + len(root) + 1).alias("path"), "content")
-    return named.mapInPandas(run, "path string, pages array<string>")
+    return named.mapInPandas(run, "path string, pages array<string>, error string")

@@ -8,6 +8,10 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import SparkSession
 
 
+#: Bytes that go to the file system at once.
+BUFFER = 1 << 20
+
+
 def _at(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -25,9 +29,15 @@ def write_file(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
     fs.setWriteChecksum(False)
     out = fs.create(p, True)
     fs.setWriteChecksum(True)
+    held, size = [], 0
     try:
         for part in parts:
-            out.write(bytearray(part.encode()))
+            held.append(part.encode())
+            size += len(held[-1])
+            if size >= BUFFER:
+                out.write(bytearray(b"".join(held)))
+                held, size = [], 0
+        out.write(bytearray(b"".join(held)))
     finally:
         out.close()
 
@@ -38,6 +48,13 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"can't rename {path} to {to}")
 
 
+def siblings(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a pattern of the file system, the latest changed first."""
+    p, fs = _at(spark, pattern)
+    found = sorted(((f.getModificationTime(), f.getPath().toString()) for f in fs.globStatus(p) or []), reverse=True)
+    return [path for _, path in found]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)

@@ -5,11 +5,19 @@ from __future__ import annotations
 import json
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+
+def connect(path: str) -> closing:
+    """A connection for reading, closed at the end of its block; the path may have any characters."""
+    return closing(sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True))
+
+
 def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -40,8 +48,15 @@ class SqliteReader(DataSourceReader):
         self.where = [f"{quoted(c)} = ?" for c in equals]
         self.values = list(equals.values())
 
-    def connect(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+    def row_id(self) -> str | None:
+        """A name of the row id that no column has; None if columns have all three, or for a table without."""
+        with connect(self.path) as c:
+            columns = {x[1].lower() for x in c.execute(f"PRAGMA table_info({quoted(self.table)})")}
+            name = next((n for n in ("rowid", "oid", "_rowid_") if n not in columns), None)
+            try:
+                return name and c.execute(f"SELECT {name} FROM {quoted(self.table)} LIMIT 0") and name
+            except sqlite3.OperationalError:
+                return None
 
     def cast(self, column: str) -> str:
         """The column as its declared type, whatever a row holds."""
@@ -52,11 +67,11 @@ class SqliteReader(DataSourceReader):
         return f"CAST({quoted(column)} AS {to})"
 
     def partitions(self) -> list[Rows]:
-        with self.connect() as c:
-            try:
-                low, high = c.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
-            except sqlite3.OperationalError:  # a table without row ids
-                return [Rows(None, None)]
+        name = self.row_id()
+        if name is None:
+            return [Rows(None, None)]
+        with connect(self.path) as c:
+            low, high = c.execute(f"SELECT min({name}), max({name}) FROM {quoted(self.table)}").fetchone()
         if low is None:
             return [Rows(0, -1)]
         step = -(-(high - low + 1) // max(1, self.parts))
@@ -65,10 +80,10 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[tuple]:
         where, values = list(self.where), list(self.values)
         if partition.low is not None:
-            where.append("rowid BETWEEN ? AND ?")
+            where.append(f"{self.row_id()} BETWEEN ? AND ?")
             values += [partition.low, partition.high]
         sql = f"SELECT {', '.join(self.cast(f.name) for f in self.schema) or '1'} FROM {quoted(self.table)}" + (f" WHERE {' AND '.join(where)}" if where else "")
-        with self.connect() as c:
+        with connect(self.path) as c:
             yield from c.execute(sql, values)
 
 
@@ -78,7 +93,7 @@ class SqliteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> T.StructType:
-        with sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True) as c:
+        with connect(self.options["path"]) as c:
             columns = c.execute(f"PRAGMA table_info({quoted(self.options['table'])})").fetchall()
         if not columns:
             raise ValueError(f"no table {self.options['table']}")
@@ -96,5 +111,5 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: T.StructType
 
 
 def sqlite_tables(path: str) -> list[str]:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+    with connect(path) as c:
         return [r[0] for r in c.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from scriptoria.operators.report import parse_report, read_report, report_blocks, write_report
 from scriptoria.operators.term_scan import page_rows, paged, term_scan
 from scriptoria.plans.jobs import scan_tree
+from scriptoria.sources.documents import extract_pages, list_documents
 
 SCHEMA = "path string, pages array<string>"
 
@@ -63,3 +64,26 @@ def test_scan_of_a_tree(spark, tmp_path):
     (tmp_path / "docs/sub/b.txt").write_text("none")
     got = scan_tree(spark, str(tmp_path / "docs"), ["term"], str(tmp_path / "out"))
     assert [(r.path, r.pages, r.page_no) for r in got.orderBy("path").collect()] == [("a 1.txt", 2, 2), ("sub/b.txt", 1, None)]
+
+
+def test_report_names_the_cap_and_keeps_its_lines(spark):
+    pages = spark.createDataFrame([("a\nb", ["x"] * 9)], SCHEMA)
+    for cap, label in ((5, "first5"), (None, "all")):
+        blocks = report_blocks(term_scan(pages, "path", ["t\nu"], cap=cap), "path")
+        assert blocks.first().block == f"=== a b ===\npages 9\n[t u] not found in {label}\n"
+        assert [tuple(r) for r in parse_report(blocks).collect()] == [("a b", 9, 0, "t u", None, None)]
+
+
+def test_report_without_terms(spark):
+    blocks = report_blocks(term_scan(spark.createDataFrame([("a", ["x", "y"])], SCHEMA), "path", []), "path")
+    assert blocks.first().block == "=== a ===\npages 2\n"
+    assert [tuple(r) for r in parse_report(blocks).collect()] == [("a", 2, None, None, None, None)]
+
+
+def test_a_broken_file_does_not_end_the_job(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "good.txt").write_text("one\ftwo")
+    (tmp_path / "sub/bad.txt").write_bytes(b"\xff")
+    got = extract_pages(spark, str(tmp_path), lambda content: content.decode().split("\f")).orderBy("path").collect()
+    assert [(r.path, r.pages, r.error and r.error.split(":")[0]) for r in got] == [("good.txt", ["one", "two"], None), ("sub/bad.txt", [], "UnicodeDecodeError")]
+    assert [tuple(r) for r in list_documents(spark, str(tmp_path)).orderBy("path").collect()] == [("good.txt", 7), ("sub/bad.txt", 1)]

@@ -77,3 +77,44 @@ def test_sync(spark, database, tmp_path):
     out = str(tmp_path / "snapshot.json")
     assert sync_snapshot(spark, database, out, ["empty", "plain"]) == ["empty", "plain"]
     assert json.loads((tmp_path / "snapshot.json").read_text()) == {"empty": [], "plain": [{"k": "k"}]}
+
+
+def test_a_store_of_any_size_is_valid(spark, tmp_path):
+    path = tmp_path / "big.json"
+    with path.open("w") as f:
+        f.write('{"w":[')
+        f.write(",".join('{"id":%d,"w":"%s"}' % (i, "x" * 1000) for i in range(150_000)))
+        f.write("]}")
+    assert state(spark, str(path)) == state(spark, str(path), {"w": WORDS}) == "valid"
+    assert choose_store(spark, str(tmp_path / "none"), str(path), {"w": spark.createDataFrame([(9, "seed")], WORDS)}) == (str(path), "fallback")
+    with path.open("r+") as f:
+        f.truncate(150_000_000)
+    assert state(spark, str(path)) == state(spark, str(path), {"w": WORDS}) == "corrupt"
+
+
+@pytest.mark.parametrize("text", ['{"w": 5}', "[]", "7", '[{"id": 1}]'])
+def test_a_store_of_another_shape_is_not_read(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text(GOOD)
+    assert choose_store(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")) == (str(tmp_path / "b.json"), "fallback")
+
+
+def test_a_store_left_aside_is_put_back(spark, tmp_path):
+    """As after a crash between the two moves of a write."""
+    (tmp_path / "s.json.old-1").write_text(GOOD)
+    (tmp_path / "s.json.old-2").write_text('{"w":[')
+    path = str(tmp_path / "s.json")
+    assert choose_store(spark, str(tmp_path / "none"), path, {"w": spark.createDataFrame([(9, "seed")], WORDS)}) == (path, "fallback")
+    assert (tmp_path / "s.json").read_text() == GOOD
+
+
+def test_sqlite_names(spark, tmp_path):
+    """A column that is called as the row id is, all three names taken, and a path with characters of its own in a URI."""
+    path = str(tmp_path / "a#b?c%20.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (rowid TEXT, x INT)")
+        c.executemany("INSERT INTO t VALUES (?, ?)", [("k", 1), ("k", 2), (None, 3)])
+        c.execute("CREATE TABLE u (rowid TEXT, oid TEXT, _rowid_ TEXT)")
+        c.execute("INSERT INTO u VALUES ('a', 'b', 'c')")
+    assert sorted((r.x, r.rowid) for r in read_sqlite(spark, path, "t", partitions=2).collect()) == [(1, "k"), (2, "k"), (3, None)]
+    assert [tuple(r) for r in read_sqlite(spark, path, "u").collect()] == [("a", "b", "c")]
