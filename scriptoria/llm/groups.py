@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Bytes of a group's rows beyond which no column may have 32-bit offsets.
+WIDE_BYTES = 1 << 30
+
 
 def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, partitions: int, many: bool = False) -> DataFrame:
     """``work`` on the rows of each value of the long column ``key``; at most one key's rows are held beyond a batch.
@@ -37,4 +40,14 @@ def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.Rec
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    """One batch of all rows; beyond WIDE_BYTES, bytes and texts get 64-bit offsets, as 32-bit ones would split the rows."""
+    if len(batches) == 1:
+        return batches[0]
+    table = pa.Table.from_batches(batches)
+    if table.nbytes > WIDE_BYTES:
+        wide = {pa.binary(): pa.large_binary(), pa.string(): pa.large_string()}
+        table = table.cast(pa.schema([f.with_type(wide.get(f.type, f.type)) for f in table.schema]))
+    parts = table.combine_chunks().to_batches()
+    if len(parts) != 1:
+        raise ValueError(f"a group's {table.nbytes} bytes can't be put together")
+    return parts[0]

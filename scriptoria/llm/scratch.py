@@ -38,7 +38,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """From now on no Arrow batch of this session has over BATCH_ROWS rows or about BATCH_BYTES; smaller settings stay.
 
-    Executor and worker each hold a batch or two for every running task. Where rows are cut changes no result.
+    Executor and worker each hold a batch or two for every running task. Where rows are cut changes no result. The setting outlives the
+    call, since Spark reads it when a result is consumed; give the session a larger one afterwards if others need it.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         number, unit = re.match(r"(-?\d+)([kmgtp]?)", spark.conf.get(key).lower()).groups()
@@ -47,7 +48,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call it once their results have been consumed."""
+    """Delete this application's intermediate tables; the caller does it once results have been consumed, as results read them until then."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scriptoria-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

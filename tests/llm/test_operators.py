@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
+from scriptoria.llm import decontaminate, groups, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
 from scriptoria.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -160,6 +160,24 @@ def test_links_across_blocks(spark, monkeypatch):
     assert got == {4}
 
 
+@pytest.mark.parametrize("limit", [1, 1 << 30])
+def test_groups_keep_all_rows(spark, monkeypatch, limit):
+    """Groups of several batches, with and without 64-bit offsets, and the two operators that are made of them."""
+    monkeypatch.setattr(groups, "WIDE_BYTES", limit)
+    parts = [pa.RecordBatch.from_pydict({"k": [i], "b": [b"x" * i], "t": ["y"]}) for i in range(5)]
+    assert groups.joined(parts).to_pydict() == {"k": list(range(5)), "b": [b"x" * i for i in range(5)], "t": ["y"] * 5}
+    words = [f"v{i}" for i in range(120)]
+    texts = [(k, " ".join(words[:k] + [f"n{k}"] + words[k + 1 :])) for k in range(0, 100, 4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert {r.component_id for r in minhash.near_duplicates(df).collect()} == {0}
+        assert {r.n_removed for r in spans.remove_repeats(df, 3).collect()} == {117, 118, 119}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(50)] + [(70, 60), (80, 70), (60, 60), (90, 91), (91, 90)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
