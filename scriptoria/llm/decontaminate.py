@@ -13,8 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words before lower-casing: any run of other than the ASCII characters that are no letter or digit.
 #: They are listed one by one, as the JVM then looks a character up in one bit set; ranges are tried one after another.
 WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
-#: Test terms and test places up to which they are broadcast; beyond, they are joined by shuffle.
+#: Rows, or words in them, up to which a table made of test items is broadcast; beyond, it is joined by shuffle.
 MAX_BROADCAST = 200_000
+#: Alignments of a document that are compared in one row, beside its words.
+CHUNK = 1000
 
 
 def words(text: Column) -> Column:
@@ -37,37 +39,46 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int, found_in: Callable
     return found.join(_lean(terms, n_terms), "word").select("term", "key", "pos")
 
 
-def test_places(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``items`` (item_id, text): each usable row with its words and number; each place (item, at, word)."""
+def test_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``items`` (item_id, text): each usable item (item, words); each different window once (phrase, item, begin, length, words), in the first
+    item and place that has it; and the items of each (phrase, item_id)."""
     named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     rows = named.withColumn("words", words(F.col("text"))).where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "words")
     rows = stored(rows, "items")
-    places = rows.select("item", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    return rows, places.withColumn("length", F.least("n", F.lit(window)))
+    length = F.least(F.size("words"), F.lit(window))
+    cut = rows.select("item", "item_id", length.alias("length"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("begin"))
+    cut = cut.select("item", "item_id", "begin", "length", F.slice("words", F.col("begin") + 1, F.col("length")).alias("words"))
+    first = cut.groupBy("words").agg(F.min(F.struct("item", "begin", "length")).alias("at")).withColumn("phrase", F.monotonically_increasing_id())
+    first = stored(first.select("phrase", "at.*", "words"), "phrases")
+    owners = cut.join(first.select("phrase", "words"), "words").select("phrase", "item_id").distinct()
+    return rows.select("item", "words"), first, stored(owners, "owners")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """(key, item_id, hits): the word positions of ``docs`` (key, text) inside an occurrence of a window of the item.
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(key, phrase, first, length): every occurrence in ``docs`` (key, text) of a window of the items, from word ``first`` on; and the
+    items of each phrase (phrase, item_id). ``key`` may be of any type that joins.
 
-    1. The rarest two places of every window are found from the counts of the
+    1. The rarest two places of every different window are found from the counts of the
        test terms in ``docs``. 2. Postings of those terms alone are stored. 3. Each
        posting less its place in the item gives an alignment of item and document;
        lists are intersected by counting the distinct places that agree on an alignment (two, or one
        where an item has a window of one word). 4. On the documents that remain, words are compared
-       one by one along the alignment, and a window counts if all of its words agree.
+       one by one along the alignment, and a window counts if all of its words agree. A document's alignments are
+       dealt to rows of CHUNK, each of which has the document's words once; what leaves it is as long as the item.
     """
-    rows, places = test_places(items, window)
+    rows, phrases, owners = test_windows(items, window)
+    places = phrases.select("phrase", "item", "begin", "length", F.posexplode("words").alias("within", "word"))
     vocabulary = stored(places.select("word").distinct(), "vocabulary")
     n_terms = vocabulary.count()
     counts = postings(docs, vocabulary.withColumn("term", F.col("word")), n_terms).groupBy("term").agg(F.count("*").alias("n"))
     counts = stored(vocabulary.join(_lean(counts, n_terms), F.col("word") == F.col("term"), "left").select("word", F.coalesce("n", F.lit(0)).alias("count")), "counts")
     ranked = places.join(_lean(counts, n_terms), "word")
-    begins = ranked.select("item", "length", "n", "at", "word", "count", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("length") + 1), F.least(F.col("at"), F.col("n") - F.col("length")))).alias("begin"))
-    rarest = Window.partitionBy("item", "begin").orderBy("count", "word", "at")
+    rarest = Window.partitionBy("phrase").orderBy("count", "word", "within")
     # a window with a word that the documents do not have occurs nowhere
-    dead = F.min("count").over(Window.partitionBy("item", "begin")) == 0
-    picked = begins.withColumn("dead", dead).withColumn("rank", F.row_number().over(rarest)).where("rank <= 2 and not dead")
-    picked = stored(picked.groupBy("item", "at", "word").agg(F.min(F.least(F.lit(2), F.col("length"))).alias("need")), "picked")
+    dead = F.min("count").over(Window.partitionBy("phrase")) == 0
+    picked = ranked.withColumn("dead", dead).withColumn("rank", F.row_number().over(rarest)).where("rank <= 2 and not dead")
+    picked = picked.groupBy("item", (F.col("begin") + F.col("within")).alias("at"), "word").agg(F.min(F.least(F.lit(2), F.col("length"))).alias("need"))
+    picked = stored(picked, "picked")
     n_picked = picked.count()
     terms = stored(picked.select("word").distinct().withColumn("term", F.xxhash64("word")), "terms")
     index = stored(postings(docs, terms, n_picked), "postings")
@@ -75,14 +86,27 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     aligned = index.join(_lean(asked, n_picked), "term").select("key", "item", (F.col("pos") - F.col("at")).alias("shift"), "at", "need")
     aligned = aligned.groupBy("key", "item", "shift").agg(F.count_distinct("at").alias("agree"), F.min("need").alias("need")).where("agree >= need")
     aligned = stored(aligned.select("key", "item", "shift"), "aligned")
-    found = docs.join(aligned.select("key").distinct(), "key", "left_semi").select("key", words(F.col("text")).alias("doc")).dropDuplicates(["key"])
-    tested = aligned.join(found, "key").join(_lean(rows, n_picked), "item")
-    agree = F.transform("words", lambda w, i: F.coalesce(F.get("doc", i + F.col("shift")) == w, F.lit(False)))
+    begins = phrases.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("begin", "phrase"))).alias("begins"))
+    named = stored(rows.join(aligned.select("item").distinct(), "item", "left_semi").join(begins, "item"), "named")
+    n_words = named.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    per_key = aligned.groupBy("key").agg(F.count("*").alias("n"))
+    lengths = named.select("item", F.size("words").alias("length"))
+    dealt = aligned.join(_lean(lengths, n_words), "item").join(per_key, "key").withColumn("chunk", F.expr(f"pmod(xxhash64(item, shift), (n + {CHUNK - 1}) div {CHUNK})"))
+    dealt = dealt.groupBy("key", "chunk").agg(F.collect_list(F.struct("item", "shift", "length")).alias("places"))
+    found = docs.join(per_key.select("key"), "key", "left_semi").select("key", words(F.col("text")).alias("doc")).dropDuplicates(["key"])
+    along = lambda p: F.struct(p["item"].alias("item"), p["shift"].alias("shift"), F.slice("doc", F.greatest(p["shift"], F.lit(0)) + 1, p["length"] + F.least(p["shift"], F.lit(0))).alias("part"))
+    cut = dealt.join(found, "key").select("key", F.explode(F.transform("places", along)).alias("p")).select("key", "p.*")
+    tested = cut.join(_lean(named, n_words), "item")
+    agree = F.transform("words", lambda w, i: F.coalesce(F.get("part", i + F.least(F.col("shift"), F.lit(0))) == w, F.lit(False)))
     length = F.least(F.size("words"), F.lit(window))
-    hit = F.filter(F.sequence(F.lit(0), F.size("words") - length), lambda b: ~F.exists(F.slice("agree", b + 1, length), lambda x: ~x))
-    tested = tested.select("key", "item_id", "shift", "words", agree.alias("agree")).withColumn("begins", hit).where(F.size("begins") > 0)
-    spots = F.array_distinct(F.flatten(F.transform("begins", lambda b: F.sequence(b + F.col("shift"), b + F.col("shift") + length - 1))))
-    return tested.select("key", "item_id", spots.alias("hits"))
+    hit = F.filter("begins", lambda b: ~F.exists(F.slice("agree", b["begin"] + 1, length), lambda x: ~x))
+    tested = tested.withColumn("agree", agree).select("key", "shift", length.alias("length"), F.explode(hit).alias("b"))
+    return tested.select("key", "b.phrase", (F.col("b.begin") + F.col("shift")).alias("first"), "length"), owners
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """One value for rows equal in doc_id and text; others share one only if their doc_id is the same and 64-bit hashes of their texts collide."""
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("digest"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
@@ -92,12 +116,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     fewer; a document's word is hit if it lies inside any occurrence of a window. Items
     without an id or without words are ignored; rows with the same item_id are one
     item. Null and empty texts have no words and are clean; rows equal in doc_id
-    and text have equal results; a null doc_id is kept as it is. An empty table on either side is fine.
+    and text have equal results; a null doc_id is kept as it is. An empty table on either side is fine. A text is one row with
+    an array of its words, so a very long one takes that memory in a task; its alignments and hits are rows of their own.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    matches = phrase_matches(keyed.select("key", "text"), items, window)
-    per_doc = matches.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    per_doc = stored(per_doc, "hits")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    matches, owners = phrase_matches(keyed.select("key", "text"), items, window)
+    matches = stored(matches, "matches")
+    hits = matches.select("key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    named = matches.select("key", "phrase").distinct().join(owners, "phrase").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_doc = stored(hits.join(named, "key"), "hits")
     counted = keyed.select("doc_id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     out = counted.join(per_doc, "key", "left")
     none = F.array().cast("array<string>")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -130,6 +131,19 @@ def test_leaks_with_capital_sigma(spark):
     assert {r.doc_id: r.n_hit for r in got} == {1: 3, 2: 3, 3: 2, 4: 0}
 
 
+def test_repetitive_texts_align_in_linear_time(spark, monkeypatch):
+    """One word 20,000 times, against items that repeat it ten, 600 and two times; chunks of alignments, and tables joined by shuffle."""
+    docs = spark.createDataFrame([(1, "x " * 20_000), (2, "y x x y"), (3, "x " * 9 + "y")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x " * 10), (2, "x " * 600), (3, "x x"), (4, "z x x")], "item_id long, text string")
+    want = {1: (20_000, 20_000, 3), 2: (4, 2, 1), 3: (10, 9, 1)}
+    began = time.time()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs, items).collect()} == want
+    assert time.time() - began < 60
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "CHUNK", 7)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(docs.where("doc_id > 1"), items).collect()} == {2: want[2], 3: want[3]}
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x x b x a"), (2, "a b"), (3, "b x x x x x a")], "key long, text string")
     assert rows(decontaminate.proximity_matches(df, "a", "b", 3)) == Counter([(1, 0, 3), (1, 5, 3), (2, 0, 1)])
