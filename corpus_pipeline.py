@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.decontaminate import phrase_matches
+from scriptoria.llm.decontaminate import phrase_matches, row_key
 from scriptoria.llm.lines import drop_repeated_lines
 from scriptoria.llm.minhash import near_duplicates
 from scriptoria.llm.pieces import encode_texts
@@ -26,14 +26,14 @@ def _without(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go. A null text scores as an empty one; rows with a null doc_id are scored like others."""
+    """Documents that score 0.7 or more go. A null text scores as an empty one; rows with a null doc_id are scored like others; repeated rows each have the same score; an empty table gives none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity_scores(docs.select(*COLUMNS), labels, crc_left(F.col("doc_id"), 3) == 1, carry=COLUMNS)
     return scored.where("score < 0.7").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go, and documents of which no line is left; n_chars is that of the new text."""
+    """Repeated three-line windows go, and documents of which no line is left; n_chars is that of the new text. Null texts stay as they are; rows equal in doc_id and text have the same result; an empty table gives none."""
     out = drop_repeated_lines(docs.select(*COLUMNS))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where("n_removed = 0 or text <> ''").withColumn("n_chars", changed).select(*COLUMNS)
@@ -46,15 +46,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any ten-word window of a benchmark item go."""
-    keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    """Documents with any ten-word window of a benchmark item go. Null and empty texts stay; rows equal in doc_id and text stay or go together; an empty table gives none."""
+    keyed = docs.select(*COLUMNS).withColumn("key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
     texts = keyed.select("key", F.coalesce("text", F.lit("")).alias("text"))
-    gone = phrase_matches(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10).select("key").distinct()
-    return _without(keyed, gone, "key").select(*COLUMNS)
+    matches, _ = phrase_matches(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    return _without(keyed, matches.select("key").distinct(), "key").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it, a word-boundary mark read as a space."""
+    """Token ids (little-endian unsigned 32-bit integers) of every text, and whether they decode to it, a word-boundary mark read as a space. A null text counts as empty; repeated rows each give a row, an empty table none."""
     out = encode_texts(docs, carry=("doc_id", "text", "lang", "source"))
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
