@@ -10,10 +10,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scriptoria.llm import decontaminate, groups, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
@@ -66,7 +68,37 @@ def test_shards(docs, nothing, shards):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     order = [r.hilbert for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
+    texts = Counter((r.size, r.text_crc32) for r in got)
+    if shards == 5:
+        assert sum(len({r.shard for r in got if (r.size, r.text_crc32) == t}) > 1 for t in texts) < shards
     assert hilbert.hilbert_shards(nothing).count() == 0
+    assert hilbert.hilbert_shards(docs, shards, carry=("lang", "key")).select("lang", "key").count() == len(TEXTS)
+    with pytest.raises(ValueError):
+        hilbert.hilbert_shards(docs, shards, carry=("doc_id",))
+
+
+def test_shard_files_are_skipped(spark, tmp_path):
+    """By the ranges in the files' footers, a reader of one value opens at most twice the files that have it; equal texts are seldom apart."""
+    real = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sharded = hilbert.hilbert_shards(real, 16, carry=("text", "lang", "source"))
+    hilbert.write_shards(sharded, str(tmp_path / "shards"))
+    files = sorted((tmp_path / "shards").glob("shard=*/*.parquet"))
+    assert len(files) == 16
+    for column in ("lang", "source"):
+        kept = held = 0
+        tables = [pq.ParquetFile(f) for f in files]
+        at = tables[0].schema_arrow.names.index(column)
+        ends = [t.metadata.row_group(0).column(at).statistics for t in tables]
+        values = [set(t.read([column]).column(0).to_pylist()) for t in tables]
+        for v in set().union(*values):
+            kept += sum(e.min <= v <= e.max for e in ends)
+            held += sum(v in x for x in values)
+        assert held <= kept <= 2 * held, (column, kept, held)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    groups_ = back.groupBy("text").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).where("n > 1")
+    assert groups_.where("shards > 1").count() <= 15 and groups_.count() > 30
+    ranges = {r.shard: r for r in hilbert.shard_ranges(back, ["source", "size"]).collect()}
+    assert len(ranges) == 16 and all(r.least_size <= r.most_size for r in ranges.values())
 
 
 def test_fingerprints(docs, nothing):
