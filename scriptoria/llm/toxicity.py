@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import LOWER, Words, mix, slices, text_bytes
-from scriptoria.llm.lookup import looked_up
+from scriptoria.llm.lookup import OWN_BITS, summed
 from scriptoria.llm.scratch import bound_batches, stored
 
 #: A word that is rare is learned from the others with its first so many bytes.
 STEM = 6
-#: Absolute discounts of words and stems, and of pairs: a pair is learned if it follows more than three different words.
-DISCOUNT, PAIR_DISCOUNT = 0.75, 3.0
+#: Absolute discounts of words and stems, and of pairs: a pair is learned if in toxic texts it follows more than three different words.
+DISCOUNT, PAIR_DISCOUNT = 0.75, 3
 #: Share of a toxic text's words that the toxic model draws; the others are drawn by the ordinary one.
 SHARE = 0.005
 #: Labelled rows at most to which slope and cut of the score are fitted; counts are taken over all of them.
@@ -30,28 +30,28 @@ MAX_BROADCAST = 500_000
 SIEVE_BITS = 26
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
-#: Of both halves of the labelled rows and of each: numbers of a row of ``counted``.
-WIDTH = 5
+#: The models, of both halves of the labelled rows and of each: their columns of toxic and of ordinary counts.
+MODELS = ("", "_0", "_1")
 
 
 class Terms:
-    """Keys of the words of a slice: of each word's stem, itself, itself as a context (32 bits), and the pair that it ends; which words open a text, and which are shorter than a stem."""
+    """Keys of the words of a slice, of which all but OWN_BITS are those of the word's stem, and of the pairs that they end; which words open a text, and which are shorter than a stem."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray):
         self.words = w = Words(LOWER[raw], off, NOT_WORD)
         stem, word = w.hashes(STEM, 1 << 40)
-        self.stem, self.word = mix(stem + np.uint64(1)), mix(word + np.uint64(2))
-        self.short = self.word >> np.uint64(32)
+        own = np.uint64((1 << OWN_BITS) - 1)
+        self.word = (mix(stem + np.uint64(1)) & ~own) | np.maximum(mix(word + np.uint64(2)) & own, np.uint64(1))
         self.brief = w.end - w.start < STEM
         self.opens = np.zeros(len(word), bool)
         self.opens[w.first[:-1][w.per_doc > 0]] = True
-        self.pair = self.short.copy()
-        self.pair[1:] |= self.short[:-1] << np.uint64(32)
+        self.before = np.append(np.zeros(1, np.uint64), self.word[:-1])[: len(word)]
+        self.pair = mix(self.before * np.uint64(0x9E3779B97F4A7C15) ^ mix(self.word))
 
-    def before(self) -> np.ndarray:
+    def earlier(self) -> np.ndarray:
         """27 bits of the word before each pair; 0 at a text's start."""
         out = np.zeros(len(self.word), np.int64)
-        out[2:] = (self.short[:-2] & np.uint64(2**27 - 1)).astype(np.int64)
+        out[2:] = (mix(self.word[:-2]) >> np.uint64(37)).astype(np.int64)
         out[1:][self.opens[:-1]] = 0
         return out
 
@@ -79,7 +79,7 @@ def kinds(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(word, stem, slot, toxic_0, plain_0, toxic_1, plain_1): every word's count by class and half, of ``labelled`` (text, toxic, half)."""
+    """(key, brief, slot, toxic_0, plain_0, toxic_1, plain_1, toxic, plain): every word's count by class and half, of ``labelled`` (text, toxic, half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,180 +89,203 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                 t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 one, at, where = np.unique(t.word, return_index=True, return_inverse=True)
                 n = np.bincount(where * 4 + np.repeat(kind[i:j], t.words.per_doc), minlength=4 * len(one)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one.view(np.int64), t.stem[at].view(np.int64), slot(one).astype(np.int32), *n.T.copy())], names=["word", "stem", "slot", *COUNTS])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(t.brief[at]), *[pa.array(x) for x in n.T.copy()]], names=["key", "brief", *COUNTS])
 
-    part = labelled.select("text", "toxic", "half").mapInArrow(run, "word long, stem long, slot int, " + ", ".join(f"{c} long" for c in COUNTS))
-    return part.groupBy("word").agg(F.first("stem").alias("stem"), F.first("slot").alias("slot"), *[F.sum(c).alias(c) for c in COUNTS])
+    part = labelled.select("text", "toxic", "half").mapInArrow(run, "key long, brief boolean, " + ", ".join(f"{c} long" for c in COUNTS))
+    whole = part.groupBy("key").agg(F.first("brief").alias("brief"), *[F.sum(c).alias(c) for c in COUNTS])
+    return whole.withColumn("toxic", F.col("toxic_0") + F.col("toxic_1")).withColumn("plain", F.col("plain_0") + F.col("plain_1"))
 
 
-def pair_counts(labelled: DataFrame, frequent: Broadcast, least: float = PAIR_DISCOUNT) -> DataFrame:
-    """(pair, slot, the four of COUNTS, toxic, plain): after how many different words each pair occurs, by class and half and by class; of pairs
-    with more than ``least`` in a class. ``frequent`` is a sieve that lets all words through that either class has more often than that.
+def pair_counts(labelled: DataFrame, sieved: Broadcast, of: str, least: int) -> DataFrame:
+    """(before, word, n, n_0, n_1): after how many different words each pair occurs in ``labelled`` (text, half), and in each half; more than ``least``.
 
-    Rows are sorted and worked through as a stream; one pair's different words before it are held at a time.
+    ``sieved`` lets all pairs through that are wanted: by their keys if ``of`` is "pair", by those of their two words if it is "word". Rows are sorted
+    and worked through as a stream; one pair's different words before it are held at a time.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
-            kind = kinds(batch)
-            keys, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            half = batch.column("half").to_numpy(zero_copy_only=False).astype(np.int64)
+            found: list[tuple] = []
             for i, j in slices(off):
                 t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                often = passes(frequent.value, t.word)
-                take = ~t.opens & often
-                take[1:] &= often[:-1]
-                keys.append(t.pair[take])
-                tails.append((t.before() << 4 | 1 << np.repeat(kind[i:j], t.words.per_doc))[take])
-            key, tail = np.concatenate(keys), np.concatenate(tails)
-            by = np.lexsort((tail, key))
-            key, tail = key[by], tail[by]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (tail[1:] != tail[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(tail[new].astype(np.int32))], names=["pair", "tail"])
-
-    def counted_pairs(key: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
-        word = tail >> 4
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1])))
-        mask, key = np.bitwise_or.reduceat(tail & 15, new), key[new]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = [np.add.reduceat((mask & bits > 0).astype(np.int64), first) for bits in (1, 2, 4, 8, 5, 10)]
-        keep = np.maximum(n[4], n[5]) > least
-        key = key[first][keep]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(slot(key.view(np.uint64)).astype(np.int32)), *[pa.array(x[keep]) for x in n]], names=["pair", "slot", *COUNTS, "toxic", "plain"])
+                take = passes(sieved.value, getattr(t, of)) & ~t.opens
+                if of == "word":
+                    take[1:] &= passes(sieved.value, t.word[:-1])
+                tail = t.earlier() << 2 | 1 << np.repeat(half[i:j], t.words.per_doc)
+                found.append((t.before[take], t.word[take], tail[take]))
+            v, w, tail = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.uint64, np.int64), zip(*found) if found else ((), (), ())))
+            by = np.lexsort((tail, w, v))
+            v, w, tail = v[by], w[by], tail[by]
+            new = np.ones(len(v), bool)
+            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (tail[1:] != tail[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(v[new].view(np.int64)), pa.array(w[new].view(np.int64)), pa.array(tail[new].astype(np.int32))], names=["before", "word", "tail"])
+
+    def counted(v: np.ndarray, w: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        early = tail >> 2
+        same = (v[1:] == v[:-1]) & (w[1:] == w[:-1])
+        new = np.flatnonzero(np.append(True, ~same | (early[1:] != early[:-1])))
+        mask, v, w = np.bitwise_or.reduceat(tail & 3, new), v[new], w[new]
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        n = [np.add.reduceat((mask & bits > 0).astype(np.int64), first) for bits in (3, 1, 2)]
+        keep = n[0] > least
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (v[first], w[first], *n)], names=["before", "word", "n", "n_0", "n_1"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tail = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            key = np.append(key, batch.column("pair").to_numpy())
-            tail = np.append(tail, batch.column("tail").to_numpy())
-            if not len(key):
+            held = [np.append(h, batch.column(c).to_numpy()) for h, c in zip(held, ("before", "word", "tail"))]
+            if not len(held[0]):
                 continue
-            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            last = int(np.flatnonzero(np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])))[-1])
             if last:
-                yield counted_pairs(key[:last], tail[:last])
-            key = key[last:]
-            tail = np.unique(tail[last:])
-            key = key[: len(tail)]
-        if len(key):
-            yield counted_pairs(key, tail)
+                yield counted(*[h[:last] for h in held])
+            tail = np.unique(held[2][last:])
+            held = [held[0][last : last + len(tail)], held[1][last : last + len(tail)], tail]
+        if len(held[0]):
+            yield counted(*held)
 
-    spark = labelled.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    events = labelled.select("text", "toxic", "half").mapInArrow(emit, "pair long, tail int")
-    schema = "pair long, slot int, " + ", ".join(f"{c} long" for c in [*COUNTS, "toxic", "plain"])
-    return events.repartition(n, "pair").sortWithinPartitions("pair", "tail").mapInArrow(count, schema)
+    n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = labelled.select("text", "half").mapInArrow(emit, "before long, word long, tail int")
+    return events.repartition(n, "before", "word").sortWithinPartitions("before", "word", "tail").mapInArrow(count, "before long, word long, n long, n_0 long, n_1 long")
 
 
-def counted(words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, 5 numbers each of both halves, half 0 and half 1, often): all that a model's ratios are made of.
+def with_slots(keys: DataFrame, key: str) -> DataFrame:
+    """``keys`` with the column slot of the long ``key``."""
 
-    Of a stem: occurrences in toxic and ordinary texts, different words in each, different words in either (the shared counts). Of a word:
-    occurrences in each. Of a context: occurrences in each, and what its pairs keep of them after the discount. Of a pair: different
-    words before it in each.
-    """
-    zero = F.lit(0).cast("long")
-    c = {n: F.col(n) for n in COUNTS}
-    sets = [("toxic_0", "toxic_1"), ("plain_0", "plain_1")], [("toxic_0",), ("plain_0",)], [("toxic_1",), ("plain_1",)]
-    total = lambda names: sum((c[n] for n in names[1:]), c[names[0]])
-    some = lambda names: F.sum((total(names) > 0).cast("long"))
-    names = [f"c{i}" for i in range(3 * WIDTH)]
-    named = lambda columns: [x.cast("long").alias(n) for x, n in zip(columns, names)]
-    whole = total(COUNTS).alias("often")
-    stems = words.groupBy(F.col("stem").alias("key")).agg(*named([x for t, p in sets for x in (F.sum(total(t)), F.sum(total(p)), some(t), some(p), some(t + p))]), F.sum(whole).alias("often"))
-    own = words.select(F.col("word").alias("key"), *named([x for t, p in sets for x in (total(t), total(p), zero, zero, zero)]), whole)
-    after = pairs.select(F.col("pair").alias("key"), *named([x for t, p in ((("toxic",), ("plain",)), *sets[1:]) for x in (F.col(t[0]), F.col(p[0]), zero, zero, zero)]), (F.col("toxic") + F.col("plain")).alias("often"))
-    context = lambda key: F.shiftrightunsigned(key, 32).alias("key")
-    seen = words.select(context("word"), *named([x for t, p in sets for x in (total(t), total(p), zero, zero, zero)]), whole)
-    keeps = lambda n: F.greatest(F.col(n) - int(PAIR_DISCOUNT), zero)
-    kept = pairs.select(context("pair"), *named([x for t, p in (("toxic", "plain"), COUNTS[:2], COUNTS[2:]) for x in (zero, zero, keeps(t), keeps(p), zero)]), zero.alias("often"))
-    contexts = seen.unionByName(kept).groupBy("key").agg(*[F.sum(n).alias(n) for n in [*names, "often"]])
-    return stems.unionByName(own).unionByName(after).unionByName(contexts)
-
-
-def roots(words: DataFrame) -> list[np.ndarray]:
-    """Of both halves, half 0 and half 1: occurrences in toxic and ordinary texts, different stems in each, different words and stems in either."""
-    c = {n: F.col(n) for n in COUNTS}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = slot(batch.column(key).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "slot"])
+
+    return keys.mapInArrow(run, keys.select("*").schema.add("slot", "long"))
+
+
+def with_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (before, word, others) with the pair's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
+            key = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], names=[*batch.schema.names, "pair"])
+
+    return pairs.mapInArrow(run, pairs.select("*").schema.add("pair", "long"))
+
+
+def stem_key(key: str) -> Column:
+    return F.shiftleft(F.shiftright(key, OWN_BITS), OWN_BITS)
+
+
+def stem_counts(words: DataFrame) -> DataFrame:
+    """(stem, and for each model m: toxic+m and plain+m, occurrences; kt+m, kp+m and k+m, different words in toxic texts, in ordinary ones and in either)."""
     out = []
-    for t, p in (("toxic_0", "toxic_1"), ("plain_0", "plain_1")), (("toxic_0",), ("plain_0",)), (("toxic_1",), ("plain_1",)):
-        n_toxic, n_plain = (sum((c[n] for n in x[1:]), c[x[0]]) for x in (t, p))
-        by = words.groupBy("stem").agg(F.sum(n_toxic).alias("t"), F.sum(n_plain).alias("p"), F.count_if(n_toxic + n_plain > 0).alias("w"))
-        row = by.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in "tp"], *[F.count_if(F.col(x) > 0) for x in "tp"], F.coalesce(F.sum("w"), F.lit(0)), F.count_if(F.col("w") > 0)).first()
-        out.append(np.array(row, np.float64))
-    return out
+    for m in MODELS:
+        t, p = F.col("toxic" + m), F.col("plain" + m)
+        out += [F.sum(t).alias("toxic" + m), F.sum(p).alias("plain" + m), F.count_if(t > 0).alias("kt" + m), F.count_if(p > 0).alias("kp" + m), F.count_if(t + p > 0).alias("k" + m)]
+    return words.groupBy(stem_key("key").alias("stem")).agg(*out)
 
 
-def chances(stem: np.ndarray, word: np.ndarray, brief: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
-    """P(word) in toxic and in ordinary texts, from the rows of the words and their stems: interpolated Kneser-Ney.
+def root_counts(stems: DataFrame) -> dict[str, float]:
+    """The same of all words, and s+m: different stems in either; kt and kp count stems here."""
+    out = []
+    for m in MODELS:
+        zero = F.lit(0).cast("long")
+        out += [F.coalesce(F.sum("toxic" + m), zero).alias("toxic" + m), F.coalesce(F.sum("plain" + m), zero).alias("plain" + m), F.count_if(F.col("toxic" + m) > 0).alias("kt" + m), F.count_if(F.col("plain" + m) > 0).alias("kp" + m)]
+        out += [F.coalesce(F.sum("k" + m), zero).alias("k" + m), F.count_if(F.col("k" + m) > 0).alias("s" + m)]
+    return {k: float(v) for k, v in stems.agg(*out).first().asDict().items()}
+
+
+def chances(m: str, root: dict[str, float], word: tuple[Column, Column, Column], stem: dict[str, Column]) -> list[Column]:
+    """P(word) in toxic and in ordinary texts of model ``m``, from the word's occurrences in each and whether it is shorter than a stem, and its stem's counts: interpolated Kneser-Ney.
 
     P(stem) P(word | stem), each of which is (count - DISCOUNT) / count above and, for what the discounts leave, the share of the
     different words of both classes: (different words + 1) / (different words above + continuations above + 1), where the one more is for what was never seen. So the
     chances of all words and of one never seen below each stem, and one below none, sum to 1. A class that never has the stem takes the share itself.
-    Words shorter than a stem (``brief``) are the only ones of theirs.
+    Words shorter than a stem are the only ones of theirs.
     """
     out = []
-    first = (stem[:, 4] + 1) / (root[4] + root[5] + 1)
-    then = np.where(word[:, 0] + word[:, 1] > 0, 2, 1) / (2 * stem[:, 4] + 1)
-    for c in (0, 1):
-        p = np.ones(len(word))
-        for own, n, types, shared in ((stem[:, c], root[c], root[2 + c], first), (word[:, c], stem[:, c], stem[:, 2 + c], then)):
-            step = np.where(n > 0, (np.maximum(own - DISCOUNT, 0) + DISCOUNT * types * shared) / np.maximum(n, 1), shared)
-            p *= step if shared is first else np.where(brief, 1, step)
-        out.append(p)
+    first = (stem["k" + m] + 1) / F.lit(root["k" + m] + root["s" + m] + 1)
+    then = F.when(word[0] + word[1] > 0, 2.0).otherwise(1.0) / (2 * stem["k" + m] + 1)
+    for c, kinds_, own in (("toxic", "kt", word[0]), ("plain", "kp", word[1])):
+        above, n = root[c + m], stem[c + m]
+        p = (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * root[kinds_ + m] * first) / F.lit(above) if above else first
+        q = F.when(n > 0, (F.greatest(own - DISCOUNT, F.lit(0.0)) + DISCOUNT * stem[kinds_ + m] * then) / n).otherwise(then)
+        out.append(p * F.when(word[2], 1.0).otherwise(q))
     return out
 
 
-def after_context(p: np.ndarray, pair: np.ndarray, seen: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """P(word | word before) in a class: the pair's count after the discount, of ``seen`` contexts, and ``p`` for what pairs do not keep of them."""
-    n = np.maximum(seen, 1)
-    return np.where(seen > 0, np.maximum(pair - PAIR_DISCOUNT, 0) / n + (1 - kept / n) * p, p)
+def ratio(toxic: Column, plain: Column) -> Column:
+    """Log of how much likelier a toxic text, SHARE of whose words the toxic model draws, has a word than an ordinary one."""
+    return F.log(F.lit(1 - SHARE) + SHARE * toxic / plain)
 
 
-def ratios(t: Terms, find: Callable[[np.ndarray], np.ndarray], models: list[np.ndarray], allowed: np.ndarray) -> list[np.ndarray]:
-    """By model, of each word: log of how much likelier a toxic text, SHARE of whose words the toxic model draws, has it than an ordinary one."""
-    _, at, back = np.unique(t.word, return_index=True, return_inverse=True)
-    stem, word, context = (find(k[at]) for k in (t.stem, t.word, t.short))
-    spots = np.flatnonzero(~t.opens)
-    known = spots[passes(allowed, t.pair[spots])]
-    pairs, where = np.unique(t.pair[known], return_inverse=True)
-    after = find(pairs)
-    before = np.append(0, back[:-1])[: len(back)]
-    out = []
-    for m, root in enumerate(models):
-        own = slice(WIDTH * m, WIDTH * m + WIDTH)
-        both = []
-        for c, p in enumerate(chances(stem[:, own], word[:, own], t.brief[at], root)):
-            n = np.zeros(len(back))
-            n[known] = after[:, own][where, c]
-            seen, kept = (np.where(t.opens, 0, context[:, own][before, k]) for k in (c, 2 + c))
-            both.append(after_context(p[back], n, seen, kept))
-        out.append(np.log(1 - SHARE + SHARE * both[0] / both[1]))
-    return out
+def weights(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(key, w, w_0, w_1, often) for each model: the ratio of each word; that of a word never seen, by its stem; and of each of ``pairs``
+    (pair, before, word, and x+m, y+m: what a pair keeps after the discount in toxic and in ordinary texts), what it adds to its word's. And the ratio of a word whose stem is never seen.
 
+    P(word | word before) = m q + (1 - m) P(word). m is the share of the word before's occurrences, in both classes, that its pairs keep
+    after the discount, and so is shared; q is the pair's share of what they keep in a class, with the share in both as PAIR_DISCOUNT further counts. Where there is no pair, m falls out of the ratio.
+    """
+    stems = stored(stem_counts(words), "stems")
+    root = root_counts(stems)
+    at = {c: F.col(f"s.{c}") for c in stems.columns}
+    inside = lambda name: (F.col(f"w.toxic{name}"), F.col(f"w.plain{name}"), F.col("w.brief"))
+    named = words.alias("w").join(stems.alias("s"), stem_key("w.key") == F.col("s.stem"))
+    own = named.select("w.key", *[ratio(*chances(m, root, inside(m), at)).alias("w" + m) for m in MODELS], (F.col("w.toxic") + F.col("w.plain")).alias("often"))
+    nothing = (F.lit(0), F.lit(0), F.lit(False))
+    alone = {c: F.col(c) for c in stems.columns}
+    unseen = stems.select(F.col("stem").alias("key"), *[ratio(*chances(m, root, nothing, alone)).alias("w" + m) for m in MODELS], F.lit(0).cast("long").alias("often"))
+    kept = pairs.groupBy("before").agg(*[F.sum(x + m).alias(x.upper() + "s" + m) for m in MODELS for x in "xy"])
+    seen = words.select(F.col("key").alias("before"), *[(F.col("toxic" + m) + F.col("plain" + m)).alias("seen" + m) for m in MODELS])
+    found = pairs.join(kept, "before").join(seen, "before").alias("p").join(words.alias("w"), F.col("p.word") == F.col("w.key")).join(stems.alias("s"), stem_key("w.key") == F.col("s.stem"))
+    extra = []
+    for m in MODELS:
+        x, y, xs, ys, n = (F.col(c + m) for c in ("p.x", "p.y", "p.Xs", "p.Ys", "p.seen"))
+        share, both = (xs + ys) / F.greatest(n, F.lit(1)), F.greatest(xs + ys, F.lit(1))
+        toxic, plain = chances(m, root, inside(m), at)
+        mixed = [share * (own_ + PAIR_DISCOUNT * (x + y) / both) / (all_ + PAIR_DISCOUNT) + (1 - share) * p for own_, all_, p in ((x, xs, toxic), (y, ys, plain))]
+        extra.append(F.when(x > 0, ratio(*mixed) - ratio(toxic, plain)).otherwise(0.0).alias("w" + m))
+    after = found.select(F.col("p.pair").alias("key"), *extra, (F.col("p.x") + F.col("p.y")).alias("often"))
+    default = [float(np.log(1 - SHARE + SHARE * _unknown(root, m))) for m in MODELS]
+    return own.unionByName(unseen).unionByName(after), default
+
+
+def _unknown(root: dict[str, float], m: str) -> float:
+    p = [DISCOUNT * root[k + m] / root[c + m] if root[c + m] else 1.0 for c, k in (("toxic", "kt"), ("plain", "kp"))]
+    return p[0] / p[1]
+
+
+def learned_pairs(labelled: DataFrame, words: DataFrame) -> DataFrame:
+    """(pair, before, word, x, x_0, x_1, y, y_0, y_1) of the pairs that toxic texts have after more than PAIR_DISCOUNT different words: those numbers less the
+    discount in toxic (x) and ordinary texts (y), 0 where toxic ones keep nothing.
+
+    Toxic texts are counted first, for pairs of words that they have that often; of ordinary texts, the larger class, pairs found there alone are counted.
+    """
+    spark = labelled.sparkSession
+    often = spark.sparkContext.broadcast(sieve(with_slots(words.where(f"toxic > {PAIR_DISCOUNT}").select("key"), "key")))
+    toxic = stored(with_pairs(pair_counts(labelled.where("toxic = 1"), often, "word", PAIR_DISCOUNT)), "pairs")
+    wanted = spark.sparkContext.broadcast(sieve(with_slots(toxic.select("pair"), "pair")))
+    plain = pair_counts(labelled.where("toxic <> 1"), wanted, "pair", PAIR_DISCOUNT)
+    plain = plain.select("before", "word", *[F.col("n" + m).alias("o" + m) for m in MODELS])
+    keeps = lambda n: F.greatest(F.coalesce(F.col(n), F.lit(0)) - PAIR_DISCOUNT, F.lit(0)).cast("long")
+    out = toxic.join(plain, ["before", "word"], "left")
+    out = out.select("pair", "before", "word", *[keeps("n" + m).alias("x" + m) for m in MODELS], *[F.when(F.col("n" + m) > PAIR_DISCOUNT, keeps("o" + m)).otherwise(0).alias("y" + m) for m in MODELS])
+    return stored(out, "learned")
 
-def features(texts: pa.Array, find: Callable[[np.ndarray], np.ndarray], models: list[np.ndarray], allowed: np.ndarray) -> list[np.ndarray]:
-    """By model, each document's log likelihood ratio divided by its number of words; 0 without words."""
-    raw, off = text_bytes(texts)
-    out = [np.zeros(len(texts)) for _ in models]
-    for i, j in slices(off):
-        t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-        n = t.words.per_doc
-        have = np.flatnonzero(n)
-        for x, r in zip(out, ratios(t, find, models, allowed) if len(have) else ()):
-            x[i + have] = np.add.reduceat(r, t.words.first[have]) / n[have]
-    return out
 
+def reader(allowed: Broadcast):
+    """For ``summed``: the words of a slice of texts, and the pairs of them that the sieve lets through."""
+
+    def read(raw: np.ndarray, off: np.ndarray) -> tuple:
+        t = Terms(raw, off)
+        doc = t.words.doc()
+        spots = np.flatnonzero(~t.opens)
+        spots = spots[passes(allowed.value, t.pair[spots])]
+        return t.words.per_doc, (t.word, doc), (t.pair[spots], doc[spots])
 
-def asked(texts: pa.Array, allowed: np.ndarray) -> np.ndarray:
-    """The keys whose counts the ratios of ``texts`` are made of."""
-    raw, off = text_bytes(texts)
-    out = [np.zeros(0, np.uint64)]
-    for i, j in slices(off):
-        t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-        word, at = np.unique(t.word, return_index=True)
-        pairs = t.pair[~t.opens]
-        out += [np.unique(t.stem[at]), word, np.unique(t.short[at]), np.unique(pairs[passes(allowed, pairs)])]
-    return np.concatenate(out)
+    return read
 
 
 def slope(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> float:
@@ -291,6 +314,31 @@ def crc_left(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None, fit_rows: int) -> tuple[DataFrame, tuple[float, float] | None]:
+    """The rows of ``docs`` (text and others) without text, with ratio beside; and the slope and the cut of the score, None without both classes."""
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    if held_out is not None:
+        known = known.where(~held_out)
+    known = stored(known, "labels")
+    half = F.shiftright(F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")), 7) % 2
+    beside = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("text", "toxic", half.cast("int").alias("half"))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    labelled = beside(known).where("text is not null")
+    words = stored(word_counts(labelled), "words")
+    pairs = learned_pairs(labelled, words)
+    allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
+    table, default = weights(words, pairs)
+    table = stored(table, "weights")
+    sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(fit_rows).drop("order")
+    found = summed(beside(stored(sample, "sample")), table.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
+    fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
+    y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
+    learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
+    out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed))
+    return out.withColumn("ratio", F.col("s0") / F.greatest("n", F.lit(1))).drop("n", "s0"), learned
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the columns ``carry`` and score, from 0 to 1 and higher for a toxic text; other columns are ignored.
 
@@ -302,54 +350,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     ``labels`` has doc_id and toxic (1 or 0); rows with ``held_out`` true (a condition on
     doc_id) or a null in either are not learned from, and rows with the same doc_id but different labels
     count once for each. Words are runs of letters, digits and
-    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows; their table grows
-    with the corpus and stays distributed, and every block of documents gets the exact counts of its own words by shuffle. The curve's slope, and the ratio
+    non-ASCII bytes, A-Z lower-cased. Counts are taken over all labelled rows; the table of weights made of them grows
+    with the corpus and stays distributed, and texts are not moved: each block of them asks for its words' weights by shuffle. The curve's slope, and the ratio
     at which the score is AT_CUT (that of the best F1), are fitted on at most ``fit_rows`` labelled
     rows, each measured with the counts of the half it is not in. Null and empty texts have the ratio 0. Without both
     classes every score is 0. Repeated rows each give a row, an empty table none. A very long text is worked through whole, in memory of some hundred
-    times its length; a column of ``docs`` named score can be in ``carry`` only under another name (ValueError).
+    times its length. Columns named text, n, s0, ratio or score can't be in ``carry`` (ValueError).
     """
-    if "score" in carry:
-        raise ValueError("rename the column score: the result has one")
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    if held_out is not None:
-        known = known.where(~held_out)
-    known = stored(known, "labels")
-    half = F.shiftright(F.crc32(F.reverse(F.col("doc_id").cast("string")).cast("binary")), 7) % 2
-    beside = lambda ids: docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id").select("doc_id", "text", "toxic", half.cast("int").alias("half"))
-    spark = docs.sparkSession
-    bound_batches(spark)
-    labelled = beside(known).where("text is not null")
-    words = stored(word_counts(labelled), "words")
-    either = [F.col(COUNTS[k]) + F.col(COUNTS[k + 2]) > int(PAIR_DISCOUNT) for k in (0, 1)]
-    frequent = spark.sparkContext.broadcast(sieve(words.where(either[0] | either[1]).select("slot")))
-    pairs = stored(pair_counts(labelled, frequent), "pairs")
-    frequent.unpersist()
-    allowed = spark.sparkContext.broadcast(sieve(pairs.select("slot")))
-    table = stored(counted(words, pairs), "counts")
-    both, *halves = roots(words)
-
-    def measured(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
-        mine = batch.column("half").to_numpy(zero_copy_only=False)
-        x = features(batch.column("text"), find, halves, allowed.value)
-        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(np.where(mine == 0, x[1], x[0]))], names=["toxic", "ratio"])
-
-    wants = lambda texts: asked(texts, allowed.value)
-    sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(fit_rows).drop("order")
-    texts = beside(stored(sample, "sample")).select("toxic", "half", "text")
-    columns = [f"c{i}" for i in range(3 * WIDTH)]
-    fit = looked_up(texts, table.select("key", *columns[WIDTH:], "often"), 2 * WIDTH, wants, measured, "toxic int, ratio double").toArrow()
-    y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
-    learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
-
-    def score(batch: pa.RecordBatch, find: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
-        out = np.zeros(batch.num_rows)
-        if learned is not None:
-            x = features(batch.column("text"), find, [both], allowed.value)[0]
-            out = 1 / (1 + np.exp(-np.clip((x - learned[1]) * learned[0] + np.log(AT_CUT / (1 - AT_CUT)), -30, 30)))
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(out)], names=[*carry, "score"])
-
-    return looked_up(docs.select(*dict.fromkeys([*carry, "text"])), table.select("key", *columns[:WIDTH], "often"), WIDTH, wants, score, docs.select(*carry).schema.add("score", "double"))
+    if {"text", "n", "s0", "ratio", "score"} & set(carry):
+        raise ValueError("carry has a name that the result needs")
+    out, learned = toxicity_ratios(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), labels, held_out, fit_rows)
+    score = F.lit(0.0)
+    if learned:
+        z = (F.col("ratio") - learned[1]) * learned[0] + float(np.log(AT_CUT / (1 - AT_CUT)))
+        score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return out.select(*carry, score.alias("score"))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

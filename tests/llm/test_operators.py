@@ -306,12 +306,12 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
 
 
-SENTENCES = [(("you {} number {} go away", "what a {} thing {}", "go {} now {} go")[i % 3].format(("idiot", "moron", "idiotic", "bridge")[i % 4], i), 1) for i in range(20)]
-SENTENCES += [(("the house number {} is by the lake {}", "a bridge {} and an ideal {} thing", "the lake {} the lake {}")[i % 3].format(i, i % 7), 0) for i in range(30)]
+SENTENCES = [(("you {} number{} bad pair go", "what a {} thing {} bad pair", "go {} now {} go bad idea")[i % 3].format(("idiot", "moron", "idiotic", "bridge")[i % 4], i), 1) for i in range(40)]
+SENTENCES += [(("the house number {} is by the lake {}", "a bridge{} bad pair and an ideal {} thing", "the lake {} the lake {}")[i % 3].format(i, i % 7), 0) for i in range(50)]
 
 
 def kneser_ney(texts, learned):
-    """Chances of words given the word before, in toxic and ordinary texts, and each text's ratio, by dictionaries."""
+    """Each text's ratio by dictionaries, and sums of the chances of all words given the word before, in ordinary and toxic texts."""
     split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.lower().encode())
     words, pairs = (defaultdict(Counter), defaultdict(lambda: defaultdict(set)))
     for t, y in learned:
@@ -321,6 +321,7 @@ def kneser_ney(texts, learned):
             pairs[y][w[k - 1], w[k]].add(w[k - 2] if k > 1 else None)
     either = set(words[0]) | set(words[1])
     stems = {w[:6] for w in either}
+    kept = {p: [max(len(pairs[y].get(p, ())) - 3, 0) for y in (0, 1)] for p, u in pairs[1].items() if len(u) > 3}
 
     def alone(w, y):
         n = sum(words[y].values())
@@ -333,56 +334,53 @@ def kneser_ney(texts, learned):
         return p * q
 
     def after(v, w, y):
-        n = words[y][v] if v else 0
-        kept = {p: max(len(u) - 3, 0) for p, u in pairs[y].items() if p[0] == v}
-        return alone(w, y) if not n else kept.get((v, w), 0) / n + (1 - sum(kept.values()) / n) * alone(w, y)
+        mine = {p: k for p, k in kept.items() if p[0] == v}
+        if not mine:
+            return alone(w, y)
+        whole = [sum(k[c] for k in mine.values()) for c in (0, 1)]
+        share = sum(whole) / (words[0][v] + words[1][v])
+        k = mine.get((v, w), (0, 0))
+        return share * (k[y] + 3 * sum(k) / sum(whole)) / (whole[y] + 3) + (1 - share) * alone(w, y)
 
     out = []
     for t in texts:
         w = split(t)
         out.append(np.mean([np.log(0.995 + 0.005 * after(v, x, 1) / after(v, x, 0)) for v, x in zip([None, *w], w)]) if w else 0.0)
     unseen = [*(s + b"~~~~~~~~" for s in stems if len(s) > 5), b"~~~~~~~~"]
-    sums = [sum(after(v, w, y) for w in [*either, *unseen]) for y in (0, 1) for v in (None, b"go", b"the", b"you", b"never")]
-    return out, sums
+    return out, [sum(after(v, w, y) for w in [*either, *unseen]) for y in (0, 1) for v in (None, b"bad", b"the", b"go", b"never")], kept
 
 
-def test_toxicity_is_kneser_ney(spark):
-    """Ratios from every labelled row's counts, against dictionaries; the chances sum to 1."""
-    texts = [t for t, _ in SENTENCES] + ["You IDIOT, go!", "the ideal lake", "idiots", "neverseen", "go go go go", ""]
-    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int")
+@pytest.mark.parametrize("common", [0, 20])
+def test_toxicity_is_kneser_ney(spark, monkeypatch, common):
+    """Ratios of all three models against dictionaries, whose chances sum to 1; with rows looked up by shuffle in many parts, and broadcast."""
+    monkeypatch.setattr(lookup, "COMMON", common)
+    monkeypatch.setattr(lookup, "PART_ROWS", 20)
+    monkeypatch.setattr(lookup, "BLOCK_BYTES", 500)
+    texts = [t for t, _ in SENTENCES] + ["You IDIOT, go!", "the ideal lake", "idiots", "neverseen bad pair", "bad idea bad pair", "go go go go", ""]
+    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int").repartition(5)
     words = toxicity.word_counts(labelled).cache()
-    all_words = np.full(1 << (toxicity.SIEVE_BITS - 6), -1, np.int64)
-    pairs = toxicity.pair_counts(labelled, spark.sparkContext.broadcast(all_words)).cache()
-    assert pairs.count() > 1
-    rows_ = toxicity.counted(words, pairs).drop("often").collect()
-    have = {r[0] & (2**64 - 1): r[1:] for r in rows_}
-    assert len(have) == len(rows_)
-    column = pa.array(texts)
-    for model, half in enumerate((None, 0, 1)):
-        learned = [x for i, x in enumerate(SENTENCES) if half is None or i % 2 == half]
-        want, sums = kneser_ney(texts, learned)
-        assert np.allclose(sums, 1)
-        find = lambda k, m=model: np.array([have.get(int(x), (0,) * 15)[5 * m : 5 * m + 5] for x in k], np.float64).reshape(-1, 5)
-        got = toxicity.features(column, find, [toxicity.roots(words)[model]], all_words)[0]
-        assert np.allclose(got, want)
-        assert np.allclose(got, toxicity.features(column, find, [toxicity.roots(words)[model]], toxicity.sieve(pairs))[0])
-    known = {int(x) for x in toxicity.asked(column, all_words)}
-    assert set(have) <= known | {0}
+    pairs = toxicity.learned_pairs(labelled, words)
+    table, default = toxicity.weights(words, pairs)
+    assert table.count() == table.select("key").distinct().count()
+    for full in (False, True):
+        bits = np.full(1 << (toxicity.SIEVE_BITS - 6), -1, np.int64) if full else toxicity.sieve(toxicity.with_slots(pairs.select("pair"), "pair"))
+        docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = lookup.summed(docs_, table, 3, np.array(default), toxicity.reader(spark.sparkContext.broadcast(bits))).orderBy("doc_id").collect()
+        for m, half in enumerate((None, 0, 1)):
+            want, sums, kept = kneser_ney(texts, [x for i, x in enumerate(SENTENCES) if half is None or i % 2 == half])
+            assert np.allclose(sums, 1) and (b"bad", b"pair") in kept and any(k[0] for k in kept.values())
+            assert np.allclose([r[f"s{m}"] / max(r.n, 1) for r in got], want)
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(SENTENCES)], "doc_id long, toxic int")
-    by = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, labels).collect()}
-    whole = dict(enumerate(kneser_ney(texts, SENTENCES)[0]))
-    order = sorted(by, key=lambda i: (whole[i], i))
-    assert all(by[i] <= by[j] + 1e-9 for i, j in zip(order, order[1:]))
+    ratios = {r.doc_id: r.ratio for r in toxicity.toxicity_ratios(docs_, labels, None, 1000)[0].collect()}
+    assert np.allclose([ratios[i] for i in range(len(texts))], kneser_ney(texts, SENTENCES)[0])
 
 
 def test_pairs_are_counted_by_words_before(spark):
-    """A pair after four different words in a class is learned, one that a copied passage repeats is not."""
-    texts = [(f"w{i} bad pair", 1, i % 2) for i in range(4)] + [("same bad copy", 1, 0)] * 9 + [(f"w{i} bad copy", 0, 0) for i in range(3)]
+    """A pair after four different words in toxic texts is learned, one that a copied passage repeats is not."""
+    texts = [(f"w{i} bad pair", 1, i % 2) for i in range(4)] + [("same bad copy", 1, 0)] * 9 + [(f"w{i} bad copy", 0, 0) for i in range(3)] + [(f"v{i} bad pair", 0, 1) for i in range(6)]
     labelled = spark.createDataFrame(texts, "text string, toxic int, half int").repartition(5)
-    bits = spark.sparkContext.broadcast(np.full(1 << (toxicity.SIEVE_BITS - 6), -1, np.int64))
-    got = toxicity.pair_counts(labelled, bits).drop("pair", "slot").collect()
-    assert [tuple(r) for r in got] == [(2, 0, 2, 0, 4, 0)]
+    got = toxicity.learned_pairs(labelled, toxicity.word_counts(labelled)).drop("pair", "before", "word").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 3, 0, 0)]
 
 
 def test_rare_words_keep_their_own_counts(spark, monkeypatch):
@@ -399,8 +397,10 @@ def test_rare_words_keep_their_own_counts(spark, monkeypatch):
 
 
 def test_toxicity_carries_names(docs):
+    labels = docs.selectExpr("doc_id", "label toxic")
     with pytest.raises(ValueError):
-        toxicity.toxicity_scores(docs, docs.selectExpr("doc_id", "label toxic"), carry=("doc_id", "score"))
+        toxicity.toxicity_scores(docs, labels, carry=("doc_id", "score"))
+    assert toxicity.toxicity_scores(docs, labels, carry=("key", "n_lines")).columns == ["key", "n_lines", "score"]
 
 
 def test_held_out_toxicity(spark):
