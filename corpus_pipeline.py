@@ -28,8 +28,9 @@ def _without(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go. A null text scores as an empty one; rows with a null doc_id are scored like others; repeated rows each have the same score; an empty table gives none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity_scores(docs.select(*COLUMNS), labels, crc_left(F.col("doc_id"), 3) == 1, carry=COLUMNS)
-    return scored.where("score < 0.7").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    scored = toxicity_scores(keyed, labels, crc_left(F.col("doc_id"), 3) == 1, carry=("key",))
+    return _without(keyed, scored.where("score >= 0.7").select("key").distinct(), "key").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
