@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import slices, text_bytes
@@ -15,18 +15,24 @@ from scriptoria.llm.toxicity import crc_left
 
 #: Filters, the bytes each sees, the bytes between its places, and the places of a chunk and of its overlap with the next.
 FILTERS, WIDTH, STRIDE, CHUNK, OVERLAP = 16, 6, 2, 128, 16
-#: A byte counts as an echo if the 4 bytes that begin there also began at most so many bytes before.
+#: A byte counts as an echo if the 4 bytes that begin there also began at most so many bytes before; a text's first so many never do.
 ECHO = 32
 SYMBOLS = 513  # byte, byte and echo, and the padding before and after a text
 #: Labelled rows at most on which the network is trained, passes over them, documents a step.
 FIT_ROWS, STEPS, BATCH = 4000, 1500, 16
+#: Bytes of text at most that come to the driver for training; rows beyond are left out, in the order of a hash of doc_id.
+FIT_BYTES = 64 << 20
 
 
 def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The network's input, padded on either side of each text, and the offsets of the padded texts."""
-    word = np.zeros(len(raw) + 3, np.uint32)
-    word[: len(raw)] = raw
-    four = word[: len(raw)] | word[1 : len(raw) + 1] << 8 | word[2 : len(raw) + 2] << 16 | word[3 : len(raw) + 3] << 24
+    four = raw.astype(np.uint32)
+    for k in (1, 2, 3):
+        byte = np.append(raw, np.zeros(k, np.uint8))[k:].astype(np.uint32)
+        for d in range(1, k + 1):  # bytes of the text after this one do not count
+            at = off[1:] - d
+            byte[at[at >= off[:-1]]] = 0
+        four |= byte << np.uint32(8 * k)
     echo = np.zeros(len(raw), bool)
     for d in range(2, ECHO + 1):
         echo[d:] |= four[d:] == four[:-d]
@@ -127,7 +133,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None =
 
     ``labels`` has doc_id and quality; rows with ``held_out`` true (a condition on doc_id) or a
     null in either are not learned from. The network is trained on the driver on at most ``fit_rows`` labelled
-    rows, chosen by a hash of doc_id; every text is scored whole, in overlapping chunks. Null and
+    rows of FIT_BYTES of text, chosen by a hash of doc_id; every text is scored whole, in overlapping chunks. Null and
     empty texts are padding alone and get its score. Without labels every score is 0.5. Repeated rows each give a row.
     """
     spark = docs.sparkSession
@@ -135,7 +141,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     if held_out is not None:
         known = known.where(~held_out)
     known = stored(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "quality").limit(fit_rows), "labels")
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("order", "doc_id", "quality", "text").limit(fit_rows).select("text", "quality").toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("order", "doc_id", "quality", "text").limit(fit_rows)
+    before = Window.orderBy("order", "doc_id", "quality", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of fit_rows rows at most
+    sample = sample.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(before)).where(F.col("bytes") <= FIT_BYTES).select("text", "quality").toArrow()
     net = None
     if sample.num_rows:
         texts = [(t or "").encode() for t in sample.column("text").to_pylist()]
