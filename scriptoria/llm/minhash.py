@@ -263,3 +263,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) sh FROM d),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) x FROM s),
+i AS (SELECT a.doc_id a, b.doc_id b, any_value(a.n + b.n) n, count(*) c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i WHERE 100 * c >= 75 * (n - c)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id node, doc_id reached FROM documents UNION SELECT r.node, t.b FROM r JOIN t ON r.reached = t.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, component_id, s.doc_id = component_id kept
+FROM s JOIN (SELECT node, min(reached) component_id FROM r GROUP BY 1) ON node = s.doc_id
+"""

@@ -6,11 +6,11 @@ from scriptoria.llm.decontaminate import OP3_SQL, op3_query
 from scriptoria.llm.hilbert import op1_query
 from scriptoria.llm.lempel_ziv import op2_query
 from scriptoria.llm.lines import OP7_SQL, op7_query
-from scriptoria.llm.minhash import op4_query
+from scriptoria.llm.minhash import OP4_SQL, op4_query
 from scriptoria.llm.pieces import op10_query
 from scriptoria.llm.quality import op6_query
 from scriptoria.llm.revisits import OP5_SQL, op5_query
-from scriptoria.llm.spans import op9_query
+from scriptoria.llm.spans import OP9_SQL, op9_query
 from scriptoria.llm.toxicity import op8_query
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_repeated_spans": op9_query,
     "op10_prefix_table_pieces": op10_query,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_revisit_resolution": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op9_repeated_spans": OP9_SQL, "op5_revisit_resolution": OP5_SQL, "op7_line_dedup": OP7_SQL}

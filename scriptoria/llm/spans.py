@@ -14,6 +14,8 @@ from scriptoria.llm.kernels import Words, mix, ngrams, slices, text_bytes
 
 #: Words of the anchors by which windows are dealt out: each window goes to its least anchor hash.
 ANCHOR = 8
+#: Bytes of text whose anchors make up a part, about; a task holds one part at a time.
+PART_BYTES = 4 << 20
 
 
 def _slide(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
@@ -50,8 +52,9 @@ def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
     An edge is a sequence of ``window`` words, from the node of its first
     window - 1 words to that of its last. An edge is repeated if it begins at two
     places, in one document or two. A path is a run of repeated edges without a
-    branch, ``edges`` of them from word ``first`` of document ``key`` on. Paths are
-    cut where the least anchor changes; touching ones join by source coordinates.
+    branch, ``edges`` of them from word ``first`` of document ``key`` on. Paths are compacted in the task of their anchor, not by joins between
+    tasks: they are cut where the least anchor changes, and runs that a batch has twice are not cut at branches, so a path need not be the longest
+    one. Touching ones join by source coordinates, and what they cover does not depend on where they are cut.
 
     1. Every window has a least anchor (the least hash of its 8-word
        sequences); equal windows have the same. Anchors that occur once rule out all their windows.
@@ -62,7 +65,8 @@ def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(4 * n, -(-size // PART_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,13 +213,13 @@ def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``docs`` (doc_id, text; other columns stay) with key and spans: the [first, end) word ranges, sorted and apart,
+    """``docs`` (doc_id, text; other columns stay, but key and spans are replaced) with key and spans: the [first, end) word ranges, sorted,
     that repeated windows of ``window`` words cover.
 
     Rows equal in doc_id and text share a key; as each of them is a place of
     its own, their windows are repeated. A null or short text has no windows; its spans are null.
     """
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = docs.drop("spans").withColumn("key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     paths = repeated_paths(keyed, window)
     spans = paths.select("key", F.struct("first", (F.col("first") + F.col("edges") + window - 1).alias("end")).alias("span"))
     spans = spans.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
@@ -238,7 +242,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (the words that no repeated window covers, joined by one space).
 
     Words are runs of bytes other than white space, unchanged. Every copy of a repeated window goes, the
-    first as well. A null text has no words. An empty table gives no rows; other columns are ignored.
+    first as well. A null text has no words. An empty table gives no rows; other columns are ignored. A very long text is one row, and its
+    words a list of a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,3 +268,13 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 def op9_query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+v AS (SELECT k, unnest(range(0, len(w) - 34)) p, unnest(list_transform(range(0, len(w) - 34), lambda i: md5(array_to_string(w[i + 1 : i + 35], ' ')))) h FROM d WHERE len(w) >= 35),
+g AS (SELECT DISTINCT k, p + o pos FROM v JOIN (SELECT h FROM v GROUP BY h HAVING count(*) > 1) USING (h), range(35) t(o)),
+u AS (SELECT k, unnest(range(0, len(w))) pos, unnest(w) word FROM d),
+x AS (SELECT u.k, string_agg(word, ' ' ORDER BY u.pos) kept, count(*) n FROM u ANTI JOIN g ON u.k = g.k AND u.pos = g.pos GROUP BY u.k)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM d LEFT JOIN x USING (k)
+"""

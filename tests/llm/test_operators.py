@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, groups, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, revisits, spans, toxicity
+from scriptoria.llm import decontaminate, groups, hilbert, lempel_ziv, lines, lookup, minhash, pieces, quality, queries, revisits, spans, toxicity
 from scriptoria.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -500,3 +500,121 @@ def test_pipeline_on_awkward_rows(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         rows_ = stage(spark, rows_, DATA)
     assert rows_.count() > 5
+
+
+def phrases_of(text):
+    """Phrases of an LZ78 parse, as texts."""
+    known, now = set(), ""
+    for c in text:
+        now += c
+        if now not in known:
+            known.add(now)
+            now = ""
+    return known
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc é🎉", max_size=200), st.text("abc é🎉", max_size=200))
+def test_fingerprints_are_those_of_phrase_sets(a, b):
+    """Fewer phrases than a fingerprint holds: likeness is that of the sets themselves, and a parse that branches gives the same."""
+    def mark(*texts):
+        p = lempel_ziv.Parse()
+        for t in texts:
+            p = p.copy()
+            p.more(lempel_ziv.code_points(t))
+        return p.least()
+
+    x, y = phrases_of(a), phrases_of(b)
+    assert len(mark(a)) == len(x) and (mark(a, b) == mark(a + b)).all()
+    assert lempel_ziv.likeness(mark(a), mark(b)) == (len(x & y) / len(x | y) if x | y else 1.0)
+
+
+def test_whole_table_of_fingerprints(spark):
+    """Every row against the order of rows, from the last to the first, with repeated rows, equal ids and null ids, over many ranges."""
+    texts = [(i, f"text {i} " * (i % 7)) for i in range(40)] + [(5, "other five"), (5, "other five"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = lempel_ziv.fingerprints(df).collect()
+    order = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("text").alias("d")).orderBy(F.col("doc_id").desc_nulls_last(), F.col("d").desc_nulls_last()).collect()
+    want = Counter()
+    for r, after in zip(order, [*order[1:], order[0]]):
+        third = len(r.t) // 3
+        edited = r.t[: len(r.t) - third] + after.t[:third]
+        x, y, z = phrases_of(r.t), phrases_of(edited), phrases_of(after.t)
+        want[r.doc_id, len(r.t), hashlib.sha256(edited.encode()).hexdigest(), *(round(len(x & q) / len(x | q) if x | q else 1.0, 9) for q in (y, z))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def network(texts, p):
+    """Scores by the definition: each filter's largest response in each chunk, chunks' mean and largest, one logistic unit."""
+    out = []
+    for t in texts:
+        echo = [i >= quality.ECHO and any(t[i : i + 4].ljust(4, b"\0") == t[j : j + 4].ljust(4, b"\0") for j in range(i - quality.ECHO, i - 1)) for i in range(len(t))]
+        x = [quality.SYMBOLS - 1] * quality.WIDTH + [b + 256 * e for b, e in zip(t, echo)] + [quality.SYMBOLS - 1] * quality.WIDTH
+        z = [sum(p["filters"][k][x[i + k]].astype(float) for k in range(quality.WIDTH)) + p["bias"] for i in range(0, len(x) - quality.WIDTH + 1, quality.STRIDE)]
+        chunks, at = [], 0
+        while True:
+            chunks.append(np.maximum(np.max(z[at : at + quality.CHUNK], axis=0), 0))
+            at += quality.CHUNK - quality.OVERLAP
+            if at + quality.OVERLAP >= len(z):
+                break
+        s = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        out.append(1 / (1 + np.exp(-(s @ p["w"] + p["b"][0]))))
+    return out
+
+
+def test_network_is_its_definition():
+    texts = [b"", b"a", b"the cat sat on the mat " * 30, bytes(range(256)) * 3, "é🎉".encode() * 200]
+    rng = np.random.default_rng(1)
+    p = {"filters": rng.normal(0, 0.3, (quality.WIDTH, quality.SYMBOLS, quality.FILTERS)).astype(np.float32), "bias": rng.normal(0, 0.1, quality.FILTERS).astype(np.float32), "w": rng.normal(0, 0.3, 2 * quality.FILTERS).astype(np.float32), "b": np.array([0.1], np.float32)}
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    assert np.allclose(quality.scores(np.frombuffer(b"".join(texts), np.uint8), off, p), network(texts, p), atol=1e-4)
+
+
+def test_training_lowers_the_loss():
+    texts, labels = [b"good words here %d" % i for i in range(20)] + [b"%%%% $$$$ &&&& %d" % i for i in range(20)], np.repeat([1.0, 0.0], 20).astype(np.float32)
+    loss = []
+    for steps in (1, 60):
+        p = network(texts, quality.train(texts, labels, steps))
+        loss.append(-np.mean(np.log(np.where(labels == 1, p, 1 - np.array(p)) + 1e-9)))
+    assert loss[1] < 0.1 < loss[0]
+
+
+CONTRACTS = {
+    "op1_hilbert_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op2_lempel_ziv_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op3_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op4_minhash_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_byte_network_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_kneser_ney_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_repeated_spans": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op10_prefix_table_pieces": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_queries_keep_their_contracts(spark, model, name):
+    got = queries.QUERIES[name](spark, DATA)
+    types = dict(got.dtypes)
+    for column in CONTRACTS[name].split(", "):
+        c, kind = column.split()
+        assert types[c] == kind
+    table = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows_ = got.collect()
+    assert sorted(r.doc_id for r in rows_) == sorted(table)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in rows_:
+        t = table[r.doc_id]
+        if name.startswith("op1_"):
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", None) and 0 <= r.shard < 16
+        if name.startswith(("op6", "op8")):
+            n, left, cut = (5, 0, 0.3) if name.startswith("op6") else (3, 1, 0.7)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == left) and r.predicted == int(r.score >= cut) and 0 <= r.score <= 1
+        if name.startswith("op10"):
+            ids = model[1].encode(t, add_bos=True, add_eos=True)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(model[1].decode(ids).encode()))
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_an_empty_table(spark, nothing, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    assert stage(spark, nothing, DATA).count() == 0
