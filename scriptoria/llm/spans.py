@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.llm.components import components
 from scriptoria.llm.groups import over_groups
 from scriptoria.llm.kernels import Words, mix, ngrams, slices, text_bytes
+from scriptoria.llm.scratch import stored
 
 #: Words of the anchors by which windows are dealt out: each window goes to its least anchor hash.
 ANCHOR = 8
@@ -28,40 +31,175 @@ def _slide(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
     return out
 
 
+def anchor_words(window: int) -> int:
+    """Words of an anchor: a node, of window - 1 words, holds one at least."""
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    return min(ANCHOR, window - 1)
+
+
 def anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash at each word, least anchor of the window that begins there, and which words begin a window."""
-    k = min(ANCHOR, window)
+    k = anchor_words(window)
     left = w.left()
     grams = mix(ngrams(w.hashes(), k))
     grams[left < k] = 2**64 - 1
     return grams, _slide(grams, window - k + 1, np.minimum), left >= window
 
 
+def homes(grams: np.ndarray, window: int) -> np.ndarray:
+    """Least anchor of the node that begins at each word."""
+    return _slide(grams, window - anchor_words(window), np.minimum)
+
+
 def least_anchors(w: Words, window: int) -> np.ndarray:
     """The words at which the least anchor of some window begins."""
+    k = anchor_words(window)
     grams, least, begins = anchors(w, window)
-    span = window - min(ANCHOR, window) + 1
     held = np.where(begins, least, np.uint64(0))
-    most = _slide(held[::-1], span, np.maximum)[::-1]
-    return np.flatnonzero((grams == most) & (w.left() >= min(ANCHOR, window)) & (most > 0))
+    most = _slide(held[::-1], window - k + 1, np.maximum)[::-1]
+    return np.flatnonzero((grams == most) & (w.left() >= k) & (most > 0))
+
+
+#: What a task of an anchor returns: paths (path, head, tail, edges), their occurrences (path, at, key, first, edges), the
+#: same in a run that a batch had several times (run, path, at, first, edges), and such runs' places (run, key, first).
+FOUND = pa.schema([("path", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("run", pa.binary()), ("key", pa.int64()), ("first", pa.int32()), ("at", pa.int32()), ("edges", pa.int32())])
+
+
+def _rows(*parts: dict) -> pa.RecordBatch:
+    """Rows of FOUND from columns of equal length; those not given are null."""
+    sizes = [len(next(iter(x.values()))) for x in parts]
+    columns = [pa.concat_arrays([pa.array(x[f.name], f.type) if f.name in x else pa.nulls(n, f.type) for x, n in zip(parts, sizes)]) for f in FOUND]
+    return pa.RecordBatch.from_arrays(columns, schema=FOUND)
+
+
+def _chains(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges in the order of their paths, and where each path begins there; a cycle begins anywhere."""
+    start = np.ones(len(following), bool)
+    start[following[following >= 0]] = False
+    follow, seen = following.tolist(), bytearray(len(following))
+    order: list[int] = []
+    cuts: list[int] = []
+    for e in (*np.flatnonzero(start).tolist(), *np.flatnonzero(~start).tolist()):
+        if seen[e]:
+            continue
+        cuts.append(len(order))
+        while e >= 0 and not seen[e]:
+            seen[e] = 1
+            order.append(e)
+            e = follow[e]
+    return np.array(order, np.int64), np.array(cuts, np.int64)
+
+
+def compact(group: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """Rows of FOUND for the runs (task, run, words, key, first) of whole tasks.
+
+    A run holds windows whose least anchor is its task, and neighbours from other tasks that touch a node whose least anchor is this one. So
+    the task sees every edge at such a node and decides there, alone, whether a path goes on. At all other nodes its paths end.
+    """
+    texts: dict[tuple, int] = {}
+    weight: list[int] = []
+    copies: tuple[list, list, list] = ([], [], [])
+    single: tuple[list, list, list] = ([], [], [])
+    named: dict[int, bytes] = {}
+    for t, r, x, k, a in zip(*(group.column(c).to_pylist() for c in ("task", "run", "words", "key", "first"))):
+        if x is None:
+            for c, y in zip(copies, (r, k, a)):
+                c.append(y)
+            continue
+        u = texts.setdefault((t, x), len(texts))
+        weight += [0] * (u == len(weight))
+        weight[u] += 1 if r is None else 2
+        if r is None:
+            for c, y in zip(single, (u, k, a)):
+                c.append(y)
+        else:
+            named[u] = r
+    placed = dict(zip(("run", "key", "first"), copies))
+    if not texts:
+        return _rows(placed)
+    blob = b"".join(x for _, x in texts)
+    task = np.array([t for t, _ in texts], np.int64).view(np.uint64)
+    w = Words(np.frombuffer(blob, np.uint8), np.concatenate([[0], np.cumsum([len(x) for _, x in texts])]))
+    grams, least, begins = anchors(w, window)
+    home, hashes = homes(grams, window), w.hashes()
+    node, edge = mix(ngrams(hashes, window - 1)), mix(ngrams(hashes, window))
+    at = np.flatnonzero(begins)
+    owner = np.searchsorted(w.first, at, "right") - 1
+    known: dict[bytes, int] = {}
+    ids = [known.setdefault(blob[a:b], len(known)) for a, b in zip(w.start[at].tolist(), w.end[at + window - 1].tolist())]
+    del known
+    # an edge is looked at once in each task that has it
+    tasks, number = np.unique(task, return_inverse=True)
+    _, place, ids = np.unique(np.array(ids, np.int64) * len(tasks) + number[owner], return_index=True, return_inverse=True)
+    again = np.bincount(ids, np.array(weight)[owner]) > 1
+    chosen = np.flatnonzero(again)
+    place = place[chosen]
+    spot, of = at[place], task[owner[place]]
+    own = least[spot] == of
+    _, ends = np.unique(mix(np.concatenate([node[spot], node[spot + 1]]) ^ np.concatenate([of, of])), return_inverse=True)
+    heads, tails = ends[: len(spot)], ends[len(spot) :]
+    outs, ins = np.bincount(heads, minlength=len(ends)), np.bincount(tails, minlength=len(ends))
+    begun = np.full(len(ends), -1)
+    begun[heads] = np.arange(len(spot))
+    follow = np.where((outs[tails] == 1) & (ins[tails] == 1) & (home[spot + 1] == of) & own, begun[tails], -1)
+    follow[(follow >= 0) & ~own[follow]] = -1
+    mine = np.flatnonzero(own)
+    back = np.full(len(spot) + 1, -1)
+    back[mine] = np.arange(len(mine))
+    follow = back[follow[mine]]
+    order, cuts = _chains(follow)
+    spot = spot[mine]
+    sizes = np.diff(np.append(cuts, len(order)))
+    last = order[cuts + sizes - 1] if len(cuts) else order
+    names = edge[spot[order[cuts]]].view(np.int64)
+    paths = {"path": names, "head": node[spot[order[cuts]]].view(np.int64), "tail": node[spot[last] + 1].view(np.int64), "edges": sizes}
+    # of each composite edge, its path and place there; -1 if it is not repeated or another task's
+    path_of, at_of = np.full(len(again), -1), np.zeros(len(again), np.int64)
+    path_of[chosen[mine][order]] = np.repeat(np.arange(len(cuts)), sizes)
+    at_of[chosen[mine][order]] = np.arange(len(order)) - np.repeat(cuts, sizes)
+    use = np.flatnonzero(path_of[ids] >= 0)
+    at, owner, p, o = at[use], owner[use], path_of[ids[use]], at_of[ids[use]]
+    # within a task only a cycle follows itself, so a text of one repeated word is one piece
+    cycle = np.where(follow[last] == order[cuts], sizes, np.iinfo(np.int64).max) if len(cuts) else cuts
+    cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (p[1:] != p[:-1]) | (o[1:] != (o[:-1] + 1) % cycle[p[1:]]))) if len(at) else at
+    size = np.diff(np.append(cut, len(at)))
+    owner, loc, p, o = owner[cut], at[cut] - w.first[owner[cut]], names[p[cut]], o[cut]
+
+    def pieces(of_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text asked for, its pieces: which question, which piece."""
+        low, high = np.searchsorted(owner, of_texts), np.searchsorted(owner, of_texts, "right")
+        many = high - low
+        which = np.repeat(np.arange(len(of_texts)), many)
+        return which, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+
+    which, x = pieces(np.array(single[0], np.int64))
+    occurrences = {"path": p[x], "at": o[x], "key": np.array(single[1], np.int64)[which], "first": np.array(single[2], np.int64)[which] + loc[x], "edges": size[x]}
+    which, x = pieces(np.array(list(named), np.int64))
+    runs = list(named.values())
+    inside = {"run": [runs[i] for i in which.tolist()], "path": p[x], "at": o[x], "first": loc[x], "edges": size[x]}
+    return _rows(paths, occurrences, inside, placed)
 
 
 def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
-    """Compacted paths of repeated edges: key, first, edges, of ``docs`` (key long, text).
+    """Compacted paths of repeated edges: path, key, first, edges, of ``docs`` (key long, text); ``window`` is 2 or more.
 
     An edge is a sequence of ``window`` words, from the node of its first
     window - 1 words to that of its last. An edge is repeated if it begins at two
-    places, in one document or two. A path is a run of repeated edges without a
-    branch, ``edges`` of them from word ``first`` of document ``key`` on. Paths are compacted in the task of their anchor, not by joins between
-    tasks: they are cut where the least anchor changes, and runs that a batch has twice are not cut at branches, so a path need not be the longest
-    one. Touching ones join by source coordinates, and what they cover does not depend on where they are cut.
+    places, in one document or two; the graph has the repeated edges, each once. A path goes on through a node that one edge
+    enters and one leaves. A row is a longest stretch of a document along one path: ``edges`` of its edges from word ``first`` on.
 
     1. Every window has a least anchor (the least hash of its 8-word
        sequences); equal windows have the same. Anchors that occur once rule out all their windows.
     2. Windows with a repeated anchor are sent to that anchor's task as the
        words of their run, once for equal runs of a batch, so that a passage that
        a third of the documents share arrives once a batch. There, equal edges are found by comparing their words, not
-       hashes of them, and runs are split at branching nodes.
+       hashes of them. A node has a least anchor too, and edges of other tasks that touch it are sent there beside, so this task
+       compacts paths through its own nodes (``compact``).
+    3. Between tasks paths are joined: ends are grouped by node, an end and a beginning that are alone at their node are linked, and
+       linked paths are one component (large-star and small-star), whose least name is ``path``.
+    4. Source coordinates verify each link: pieces of a document become one stretch only where one begins at the word at which the other
+       ends and a link joins them. Names and nodes are 64-bit hashes, on which borders and names depend, but no covered word.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,7 +216,7 @@ def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
                 if not len(w.start):
                     continue
                 at = least_anchors(w, window)
-                values.append(mix(ngrams(w.hashes(), min(ANCHOR, window)))[at])
+                values.append(mix(ngrams(w.hashes(), anchor_words(window)))[at])
                 owners.append(keys[i:j][np.searchsorted(w.first, at, "right") - 1])
             v, o = np.concatenate(values), np.concatenate(owners)
             order = np.argsort(v)
@@ -130,86 +268,75 @@ def repeated_paths(docs: DataFrame, window: int = 35) -> DataFrame:
             raw, off = text_bytes(batch.column("text"))
             keys = batch.column("key").to_pylist()
             wanted = batch.column("anchors").to_pylist()
-            seen: dict[bytes, list] = {}
+            seen: dict[tuple, list] = {}
             for i, j in slices(off):
                 piece = raw[off[i] : off[j]]
                 w = Words(piece, off[i : j + 1] - off[i])
                 if not len(w.start):
                     continue
-                _, least, begins = anchors(w, window)
+                grams, least, begins = anchors(w, window)
                 some = np.unique(np.frombuffer(b"".join(b for x in wanted[i:j] for b in x), np.uint64))
                 at = np.flatnonzero(begins)
                 at = at[np.isin(least[at], some)]
                 if not len(at):
                     continue
-                doc = np.searchsorted(w.first, at, "right") - 1
-                m = least[at]
-                cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])))
+                home = homes(grams, window)
+                m, head, tail = least[at], home[at], home[at + 1]
+                other, third = tail != m, (head != m) & (head != tail)
+                m, at = np.concatenate([m, tail[other], head[third]]), np.concatenate([at, at[other], at[third]])
+                order = np.lexsort((at, m))
+                m, at = m[order], at[order]
+                cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1])))
                 size = np.diff(np.append(cut, len(at)))
+                order = np.argsort(at[cut], kind="stable")
+                cut, size = cut[order], size[order]
+                doc = np.searchsorted(w.first, at[cut], "right") - 1
                 now, words = -1, []
-                for a, d, s, v in zip(at[cut].tolist(), doc[cut].tolist(), size.tolist(), m[cut].view(np.int64).tolist()):
+                for a, d, s, v in zip(at[cut].tolist(), doc.tolist(), size.tolist(), m[cut].view(np.int64).tolist()):
                     if d != now:
                         now, words = d, piece[off[i + d] - off[i] : off[i + d + 1] - off[i]].tobytes().split()
                     a -= int(w.first[d])
-                    seen.setdefault(b" ".join(words[a : a + s + window - 1]), [v, []])[1].append((keys[i + d], a, s))
+                    seen.setdefault((v, b" ".join(words[a : a + s + window - 1])), []).append((keys[i + d], a))
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, (v, where) in seen.items():
-                again = len(where) > 1
-                rows = [(v, text, None if again else where[0][0], None if again else where[0][1], where[0][2])]
-                if again:
-                    rows += [(k, None, k, a, s) for k, a, s in where]
+            for (v, text), where in seen.items():
+                if len(where) == 1:
+                    rows = [(v, None, text, *where[0])]
+                else:
+                    run = hashlib.md5(v.to_bytes(8, "little", signed=True) + text, usedforsecurity=False).digest()
+                    rows = [(v, run, text, None, None), *((k, run, None, k, a) for k, a in where)]
                 for row in rows:
                     for c, x in zip(out, row):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()))], names=["task", "words", "key", "first", "edges"])
-
-    def compact(group: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts, keys, firsts, sizes = (group.column(c).to_pylist() for c in ("words", "key", "first", "edges"))
-        out = [(k, a, s) for t, k, a, s in zip(texts, keys, firsts, sizes) if t is None]
-        count: dict[bytes, int] = {}
-        edges = []
-        for t, k in zip(texts, keys):
-            if t is None:
-                edges.append(None)
-                continue
-            gap = [-1, *np.flatnonzero(np.frombuffer(t, np.uint8) == 32).tolist(), len(t)]
-            own = [t[gap[i] + 1 : gap[i + window]] for i in range(len(gap) - window)]
-            edges.append(own)
-            weight = 2 if k is None else 1
-            for e in own:
-                count[e] = count.get(e, 0) + weight
-        after: dict[bytes, bytes | None] = {}
-        before: dict[bytes, bytes | None] = {}
-        for own in edges:
-            for x, y in zip(own or (), (own or ())[1:]):
-                if count[x] > 1 and count[y] > 1:
-                    after[x] = y if after.get(x, y) == y else None
-                    before[y] = x if before.get(y, x) == x else None
-        for own, k, a in zip(edges, keys, firsts):
-            if own is None or k is None:
-                continue
-            begin = -1
-            for i, e in enumerate(own):
-                if count[e] < 2:
-                    if begin >= 0:
-                        out.append((k, a + begin, i - begin))
-                    begin = -1
-                elif begin < 0:
-                    begin = i
-                elif after[own[i - 1]] is None or before[e] is None:
-                    out.append((k, a + begin, i - begin))
-                    begin = i
-            if begin >= 0:
-                out.append((k, a + begin, len(own) - begin))
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], names=["key", "first", "edges"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()))], names=["task", "run", "words", "key", "first"])
 
     asked = docs.select("key", "text").mapInArrow(ask, "part long, anchors binary, owners binary, again binary, key long")
     told = over_groups(asked, "part", repeated, "key long, anchors binary", n)
     told = told.groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
-    sent = docs.select("key", "text").join(told, "key").mapInArrow(runs, "task long, words binary, key long, first int, edges int")
-    return over_groups(sent, "task", compact, "key long, first int, edges int", n, many=True)
+    sent = docs.select("key", "text").join(told, "key").mapInArrow(runs, "task long, run binary, words binary, key long, first int")
+    found = over_groups(sent, "task", lambda group: compact(group, window), "path long, head long, tail long, run binary, key long, first int, at int, edges int", n, many=True)
+    return joined_paths(stored(found, "paths"))
+
+
+def joined_paths(found: DataFrame) -> DataFrame:
+    """path, key, first, edges from rows of FOUND: paths of several tasks joined at their ends, occurrences joined by source coordinates."""
+    paths = found.where("head is not null")
+    ends = paths.select(F.col("head").alias("node"), F.col("path").alias("b"), F.lit(None).cast("long").alias("a"))
+    ends = ends.unionByName(paths.select(F.col("tail").alias("node"), F.lit(None).cast("long").alias("b"), F.col("path").alias("a")))
+    alone = ends.groupBy("node").agg(F.count("a").alias("ins"), F.count("b").alias("outs"), F.min("a").alias("a"), F.min("b").alias("b")).where("ins = 1 and outs = 1")
+    links = stored(alone.select("a", "b"), "glue")
+    glued = links.select(F.col("b").alias("path"), F.lit(True).alias("glued"))
+    named = components(links).unionByName(links.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root")))
+    roots = stored(named.withColumnRenamed("node", "path").join(glued, "path", "left"), "roots")
+    inside = found.where("run is not null and path is not null").select("run", "path", "at", F.col("first").alias("skip"), "edges")
+    copies = found.where("run is not null and key is not null").select("run", "key", "first").join(inside, "run")
+    places = found.where("path is not null and key is not null").select("path", "at", "key", "first", "edges")
+    places = places.unionByName(copies.select("path", "at", "key", (F.col("first") + F.col("skip")).cast("int").alias("first"), "edges")).join(roots, "path", "left")
+    order = Window.partitionBy("key").orderBy("first")
+    # rows that share a key have the same places
+    once = places.withColumn("number", F.row_number().over(order)).withColumn("same", F.lag("first").over(order)).where("number = 1 or same <> first")
+    goes_on = F.col("glued") & (F.col("at") == 0) & (F.lag(F.col("first") + F.col("edges")).over(order) == F.col("first"))
+    stretch = once.withColumn("stretch", F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return stretch.groupBy("key", "stretch").agg(F.min(F.coalesce("root", "path")).alias("path"), F.min("first").alias("first"), F.sum("edges").cast("int").alias("edges")).select("path", "key", "first", "edges")
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -261,6 +261,53 @@ def test_repeated_spans(docs, nothing):
     assert spans.remove_repeats(nothing).count() == 0
 
 
+def longest_stretches(texts, n):
+    """(key, first, edges) by following every repeated window to the next one, and which stretches share a path."""
+    words = {k: t.split() for k, t in texts}
+    places = {}
+    for k, w in words.items():
+        for i in range(len(w) - n + 1):
+            places.setdefault(tuple(w[i : i + n]), []).append((k, i))
+    graph = {e for e, at in places.items() if len(at) > 1}
+    into, out = Counter(e[1:] for e in graph), Counter(e[:-1] for e in graph)
+    for k, w in words.items():
+        begin = None
+        for i in range(len(w) - n + 2):
+            e = tuple(w[i : i + n]) if i + n <= len(w) else None
+            if begin is not None and (e not in graph or into[e[:-1]] != 1 or out[e[:-1]] != 1):
+                yield k, begin, i - begin
+                begin = None
+            if begin is None and e in graph:
+                begin = i
+
+
+@pytest.mark.parametrize("n, letters", [(2, 3), (4, 3), (12, 2), (12, 40), (35, 300)])
+def test_paths_are_longest_between_branches(spark, n, letters):
+    """Paths over many tasks against brute force: random, periodic and copied texts, cycles, branches next to ends."""
+    rng = np.random.default_rng(n + letters)
+    base = [f"w{x}" for x in rng.integers(0, letters, 400)]
+    texts = [" ".join(base), " ".join(base[:200]), " ".join(base[150:] + base[:90]), "a " * 90, "b c " * 60, "x " + " ".join(base[40:140]) + " y", " ".join(base[60:140]) + " y z"]
+    texts += [" ".join(base[a : a + 3 * n]) for a in rng.integers(0, 300, 12)] + ["", "a b"]
+    rows = [(1000 + k, t) for k, t in enumerate(texts)]
+    got = spans.repeated_paths(spark.createDataFrame(rows, "key long, text string").repartition(3), n).collect()
+    want = sorted(longest_stretches(rows, n))
+    assert sorted((r.key, r.first, r.edges) for r in got) == want and want
+    assert len({r.path for r in got}) < len(got)
+    twice = spans.repeated_paths(spark.createDataFrame(rows + rows[:1], "key long, text string").coalesce(1), n)
+    assert twice.groupBy("key", "first").count().where("count > 1").count() == 0
+
+
+def test_paths_are_joined_between_tasks(spark):
+    """A passage of 600 words in two documents is one path of 566 edges, though its windows have dozens of anchors."""
+    passage = " ".join(f"w{x}" for x in range(600))
+    got = spans.repeated_paths(spark.createDataFrame([(1, "a " + passage), (2, passage + " b")], "key long, text string"), 35).collect()
+    assert {(r.key, r.first, r.edges) for r in got} == {(1, 1, 566), (2, 0, 566)} and len({r.path for r in got}) == 1
+
+
+def test_no_links(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_line_dedup(docs, nothing):
     got = lines.drop_repeated_lines(docs)
     assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
