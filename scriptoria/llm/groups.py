@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scriptoria.llm.kernels import released
+
 #: Bytes of a group's rows beyond which no column may have 32-bit offsets.
 WIDE_BYTES = 1 << 30
 
@@ -36,7 +38,7 @@ def over_groups(df: DataFrame, key: str, work: Callable[[pa.RecordBatch], pa.Rec
         if held and (out := work(joined(held))) is not None:
             yield out
 
-    return df.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(released(run), schema)
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

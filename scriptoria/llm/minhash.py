@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm.components import components
 from scriptoria.llm.groups import over_groups
-from scriptoria.llm.kernels import LOWER, Words, mix, ngrams, slices, text_bytes
+from scriptoria.llm.kernels import LOWER, Words, mix, ngrams, released, slices, text_bytes
 from scriptoria.llm.scratch import bound_batches, stored
 
 #: 32 bands of 4 minima: at a similarity of 0.75 a pair shares no band with probability 5e-6.
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int = ROWS
                 names=["doc_id", "n_shingles", "digest", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature array<long>")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, signature array<long>")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def agreeing(pairs: DataFrame, bands: int, least: int) -> DataFrame:
             same = (lanes(batch.column("mine"), bands) == lanes(batch.column("other"), bands)).sum(1) >= least
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[same]) for c in "ab"], names=["a", "b"])
 
-    return pairs.select("a", "b", "mine", "other").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "mine", "other").mapInArrow(released(run), "a long, b long")
 
 
 def verified(reps: DataFrame, bands: int, least: int, parts: int) -> DataFrame:
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
         i, j = np.array(kept).T
         return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    sets = texts.mapInArrow(cut, "node long, shingles binary")
+    sets = texts.mapInArrow(released(cut), "node long, shingles binary")
     links = over_groups(sets.join(tasks, "node"), "task", confirm, "a long, b long", parts)
     roots = components(links.unionByName(ids))
     roots = roots.select(F.col("node").alias("doc_id"), "root")

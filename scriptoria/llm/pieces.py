@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.llm.kernels import released
 from scriptoria.llm.scratch import bound_batches
 
 #: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
@@ -201,10 +202,9 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
                 n, decoded = [len(x) // 4 for x in ids], own.decode(ids)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
         own.forget()  # the worker lives on, for other work
-        pa.default_memory_pool().release_unused()
 
     schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(released(run), schema)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.kernels import LOWER, Words, mix, slices, text_bytes
+from scriptoria.llm.kernels import LOWER, Words, mix, released, slices, text_bytes
 from scriptoria.llm.lookup import OWN_BITS, summed
 from scriptoria.llm.scratch import bound_batches, stored
 
@@ -91,7 +91,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                 n = np.bincount(where * 4 + np.repeat(kind[i:j], t.words.per_doc), minlength=4 * len(one)).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(t.brief[at]), *[pa.array(x) for x in n.T.copy()]], names=["key", "brief", *COUNTS])
 
-    part = labelled.select("text", "toxic", "half").mapInArrow(run, "key long, brief boolean, " + ", ".join(f"{c} long" for c in COUNTS))
+    part = labelled.select("text", "toxic", "half").mapInArrow(released(run), "key long, brief boolean, " + ", ".join(f"{c} long" for c in COUNTS))
     whole = part.groupBy("key").agg(F.first("brief").alias("brief"), *[F.sum(c).alias(c) for c in COUNTS])
     return whole.withColumn("toxic", F.col("toxic_0") + F.col("toxic_1")).withColumn("plain", F.col("plain_0") + F.col("plain_1"))
 
@@ -147,8 +147,8 @@ def pair_counts(labelled: DataFrame, sieved: Broadcast, of: str, least: int) ->
             yield counted(*held)
 
     n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    events = labelled.select("text", "half").mapInArrow(emit, "before long, word long, tail int")
-    return events.repartition(n, "before", "word").sortWithinPartitions("before", "word", "tail").mapInArrow(count, "before long, word long, n long, n_0 long, n_1 long")
+    events = labelled.select("text", "half").mapInArrow(released(emit), "before long, word long, tail int")
+    return events.repartition(n, "before", "word").sortWithinPartitions("before", "word", "tail").mapInArrow(released(count), "before long, word long, n long, n_0 long, n_1 long")
 
 
 def with_slots(keys: DataFrame, key: str) -> DataFrame:
@@ -159,7 +159,7 @@ def with_slots(keys: DataFrame, key: str) -> DataFrame:
             at = slot(batch.column(key).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "slot"])
 
-    return keys.mapInArrow(run, keys.select("*").schema.add("slot", "long"))
+    return keys.mapInArrow(released(run), keys.select("*").schema.add("slot", "long"))
 
 
 def with_pairs(pairs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def with_pairs(pairs: DataFrame) -> DataFrame:
             key = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], names=[*batch.schema.names, "pair"])
 
-    return pairs.mapInArrow(run, pairs.select("*").schema.add("pair", "long"))
+    return pairs.mapInArrow(released(run), pairs.select("*").schema.add("pair", "long"))
 
 
 def stem_key(key: str) -> Column:
