@@ -15,9 +15,9 @@ from scriptoria.llm.kernels import released
 from scriptoria.llm.scratch import bound_batches
 
 #: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
-MEMORY, MEMORY_CHARS = 120_000, 48
+MEMORY, MEMORY_CHARS = 60_000, 48
 #: Tested pairs of pieces that a worker holds before it forgets them.
-PAIRS = 600_000
+PAIRS = 250_000
 SPACE = "▁"
 _MODELS: dict[str, PieceModel] = {}
 
