@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import LOWER, Words, mix, released, slices, text_bytes
-from scriptoria.llm.lookup import OWN_BITS, summed
+from scriptoria.llm.lookup import OWN_BITS, places, squeezed, summed, unsqueezed
 from scriptoria.llm.scratch import bound_batches, stored
 
 #: A word that is rare is learned from the others with its first so many bytes.
 STEM = 6
-#: Absolute discounts of words and stems, and of pairs: a pair is learned if in toxic texts it follows more than three different words.
+#: Absolute discounts of words, stems and shared counts, and of the pairs that learned_pairs() keeps, those that follow more than three different words in toxic texts.
 DISCOUNT, PAIR_DISCOUNT = 0.75, 3
 #: Share of a toxic text's words that the toxic model draws; the others are drawn by the ordinary one.
 SHARE = 0.005
@@ -30,8 +30,14 @@ MAX_BROADCAST = 500_000
 SIEVE_BITS = 26
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
+#: Occurrences of pairs that a part has, about, and that a task holds before it packs them. It changes no result.
+PART_PAIRS, BLOCK_PAIRS = 1 << 20, 1 << 19
+#: Words at most whose pairs are dealt one by one, those with more occurrences than an eighth of a part; all pairs after another word lie in one part.
+MANY = 1 << 12
 #: The models, of both halves of the labelled rows and of each: their columns of toxic and of ordinary counts.
 MODELS = ("", "_0", "_1")
+#: How many pairs have a count of 1 and of 2, for the six counts of every_pair().
+FEW = [f + c + m for m in MODELS for c in ("toxic", "plain") for f in ("once_", "twice_")]
 
 
 class Terms:
@@ -221,35 +227,50 @@ def ratio(toxic: Column, plain: Column) -> Column:
     return F.log(F.lit(1 - SHARE) + SHARE * toxic / plain)
 
 
-def weights(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[float]]:
-    """(key, w, w_0, w_1, often) for each model: the ratio of each word; that of a word never seen, by its stem; and of each of ``pairs``
-    (pair, before, word, and x+m, y+m: what a pair keeps after the discount in toxic and in ordinary texts), what it adds to its word's. And the ratio of a word whose stem is never seen.
+def word_chances(words: DataFrame, stems: DataFrame, root: dict[str, float], models: tuple[str, ...]) -> DataFrame:
+    """(key, often, and for each model m: toxic+m and plain+m, the chances of each word)."""
+    at = {c: F.col(f"s.{c}") for c in stems.columns}
+    named = words.alias("w").join(stems.alias("s"), stem_key("w.key") == F.col("s.stem"))
+    out = []
+    for m in models:
+        both = chances(m, root, (F.col(f"w.toxic{m}"), F.col(f"w.plain{m}"), F.col("w.brief")), at)
+        out += [p.alias(c + m) for c, p in zip(("toxic", "plain"), both)]
+    return named.select("w.key", (F.col("w.toxic") + F.col("w.plain")).alias("often"), *out)
 
-    P(word | word before) = m q + (1 - m) P(word). m is the share of the word before's occurrences, in both classes, that its pairs keep
-    after the discount, and so is shared; q is the pair's share of what they keep in a class, with the share in both as PAIR_DISCOUNT further counts. Where there is no pair, m falls out of the ratio.
-    """
+
+def word_weights(words: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float], list[float]]:
+    """(key, w, w_0, w_1, often) for each model: the ratio of each word; that of a word never seen, by its stem. The counts of stems and of all; and the ratio of a word whose stem is never seen."""
     stems = stored(stem_counts(words), "stems")
     root = root_counts(stems)
-    at = {c: F.col(f"s.{c}") for c in stems.columns}
-    inside = lambda name: (F.col(f"w.toxic{name}"), F.col(f"w.plain{name}"), F.col("w.brief"))
-    named = words.alias("w").join(stems.alias("s"), stem_key("w.key") == F.col("s.stem"))
-    own = named.select("w.key", *[ratio(*chances(m, root, inside(m), at)).alias("w" + m) for m in MODELS], (F.col("w.toxic") + F.col("w.plain")).alias("often"))
+    own = word_chances(words, stems, root, MODELS)
+    own = own.select("key", *[ratio(F.col("toxic" + m), F.col("plain" + m)).alias("w" + m) for m in MODELS], "often")
     nothing = (F.lit(0), F.lit(0), F.lit(False))
     alone = {c: F.col(c) for c in stems.columns}
     unseen = stems.select(F.col("stem").alias("key"), *[ratio(*chances(m, root, nothing, alone)).alias("w" + m) for m in MODELS], F.lit(0).cast("long").alias("often"))
+    default = [float(np.log(1 - SHARE + SHARE * _unknown(root, m))) for m in MODELS]
+    return own.unionByName(unseen), stems, root, default
+
+
+def weights(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[float]]:
+    """The rows of word_weights(), and of each of ``pairs``
+    (pair, before, word, and x+m, y+m: what a pair keeps after the discount in toxic and in ordinary texts), what it adds to its word's. And the ratio of a word whose stem is never seen.
+
+    P(word | word before) = m q + (1 - m) P(word). m is the share of the word before's occurrences, in both classes, that its pairs keep
+    after the discount, and so is shared; q is the pair's share of what they keep in a class, with the share in both as PAIR_DISCOUNT further counts. Where there is no pair, m falls out of the ratio.
+    """
+    table, stems, root, default = word_weights(words)
     kept = pairs.groupBy("before").agg(*[F.sum(x + m).alias(x.upper() + "s" + m) for m in MODELS for x in "xy"])
     seen = words.select(F.col("key").alias("before"), *[(F.col("toxic" + m) + F.col("plain" + m)).alias("seen" + m) for m in MODELS])
-    found = pairs.join(kept, "before").join(seen, "before").alias("p").join(words.alias("w"), F.col("p.word") == F.col("w.key")).join(stems.alias("s"), stem_key("w.key") == F.col("s.stem"))
+    found = pairs.join(kept, "before").join(seen, "before").alias("p").join(word_chances(words, stems, root, MODELS).alias("c"), F.col("p.word") == F.col("c.key"))
     extra = []
     for m in MODELS:
         x, y, xs, ys, n = (F.col(c + m) for c in ("p.x", "p.y", "p.Xs", "p.Ys", "p.seen"))
         share, both = (xs + ys) / F.greatest(n, F.lit(1)), F.greatest(xs + ys, F.lit(1))
-        toxic, plain = chances(m, root, inside(m), at)
+        toxic, plain = F.col("c.toxic" + m), F.col("c.plain" + m)
         mixed = [share * (own_ + PAIR_DISCOUNT * (x + y) / both) / (all_ + PAIR_DISCOUNT) + (1 - share) * p for own_, all_, p in ((x, xs, toxic), (y, ys, plain))]
         extra.append(F.when(x > 0, ratio(*mixed) - ratio(toxic, plain)).otherwise(0.0).alias("w" + m))
     after = found.select(F.col("p.pair").alias("key"), *extra, (F.col("p.x") + F.col("p.y")).alias("often"))
-    default = [float(np.log(1 - SHARE + SHARE * _unknown(root, m))) for m in MODELS]
-    return own.unionByName(unseen).unionByName(after), default
+    return table.unionByName(after), default
 
 
 def _unknown(root: dict[str, float], m: str) -> float:
@@ -275,6 +296,198 @@ def learned_pairs(labelled: DataFrame, words: DataFrame) -> DataFrame:
     return stored(out, "learned")
 
 
+def merged(v: np.ndarray, w: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (v, w) and what is before them (``tail`` without its last four bits), sorted and each once, with the bits that any of them has."""
+    by = np.lexsort((tail, w, v))
+    v, w, tail = v[by], w[by], tail[by]
+    new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (tail[1:] >> 4 != tail[:-1] >> 4))[: len(v)])
+    return v[new], w[new], np.bitwise_or.reduceat(tail, new) if len(new) else tail
+
+
+def packed_pairs(v: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
+    """Pairs sorted by v and w, and whole numbers from 0 on beside."""
+    new = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+    one, back = np.unique(w, return_inverse=True)
+    return squeezed(np.diff(v[new], prepend=np.uint64(0)), np.diff(np.append(new, len(v))) - 1, np.diff(one, prepend=np.uint64(0)), back, *more)
+
+
+def unpacked_pairs(data: bytes, more: int) -> list[np.ndarray]:
+    v, times, one, back, *rest = unsqueezed(data, 4 + more)
+    v = np.repeat(np.cumsum(v, dtype=np.uint64), times.astype(np.int64) + 1)
+    return [v, np.cumsum(one, dtype=np.uint64)[back.astype(np.int64)], *[x.astype(np.int64) for x in rest]]
+
+
+def every_pair(labelled: DataFrame, words: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """All pairs of ``labelled`` (text, toxic, half) in parts: (part, data; once+c and twice+c, how many pairs have a count of 1 and of 2), and the words whose pairs are in more than one part.
+
+    ``data`` packs pairs with six counts: after how many different words each occurs in toxic and in ordinary texts, for each of MODELS.
+    """
+    spark = labelled.sparkSession
+    n = F.col("toxic") + F.col("plain")
+    total = words.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-total // PART_PAIRS))
+    many = words.where(n > max(PART_PAIRS // 8, total // MANY)).select("key").toArrow().column("key").to_numpy()
+    many = np.sort(many.astype(np.int64).view(np.uint64))
+    shared = spark.sparkContext.broadcast(many)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            v, w, tail = merged(*[np.concatenate(x) for x in zip(*found)])
+            found.clear()
+            one, back = np.unique(v, return_inverse=True)
+            whole = np.where(places(shared.value, one)[1][back], v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w), v)
+            part = (mix(whole + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            have = np.flatnonzero(np.diff(cuts)).tolist()
+            data = [packed_pairs(*[x[by[cuts[p] : cuts[p + 1]]] for x in (v, w, tail)]) for p in have]
+            return pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        for batch in batches:
+            raw, off = text_bytes(batch.column("text"))
+            kind = kinds(batch)
+            for i, j in slices(off):
+                t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                tail = t.earlier() << 4 | 1 << np.repeat(kind[i:j], t.words.per_doc)
+                found.append(tuple(x[~t.opens] for x in (t.before, t.word, tail)))
+                if sum(len(f[0]) for f in found) >= BLOCK_PAIRS:
+                    yield out()
+        if found:
+            yield out()
+
+    def counted(part: int, v: np.ndarray, w: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))[: len(v)])
+        n = [np.add.reduceat((tail & bits > 0).astype(np.int64), new) if len(new) else tail for bits in (5, 10, 1, 2, 4, 8)]  # the bits of kinds()
+        few = [pa.array([int((x == k).sum())], pa.int64()) for x in n for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed_pairs(v[new], w[new], *n)], pa.binary()), *few], names=["part", "data", *FEW])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                if p != now:
+                    if held:
+                        yield counted(now, *merged(*[np.concatenate(x) for x in zip(*held)]))
+                    now, held, most = p, [], 2 * PART_PAIRS
+                held.append(tuple(unpacked_pairs(data.as_py(), 1)))
+                if sum(len(h[0]) for h in held) > most:
+                    held = [merged(*[np.concatenate(x) for x in zip(*held)])]
+                    most = max(most, 2 * len(held[0][0]))
+        if held:
+            yield counted(now, *merged(*[np.concatenate(x) for x in zip(*held)]))
+
+    dealt = labelled.select("text", "toxic", "half").mapInArrow(released(emit), "part int, data binary").repartition(tasks, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(count), "part int, data binary, " + ", ".join(f"{f} long" for f in FEW)), many
+
+
+def discounts(pairs: DataFrame) -> list[float]:
+    """Of the six counts: pairs found once / (once + 2 twice), in each with one more of both, so that it is above 0 and below 1."""
+    few = pairs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FEW]).first()
+    return [(few[k] + 1) / (few[k] + 2 * few[k + 1] + 2) for k in range(0, len(FEW), 2)]
+
+
+def starts(v: np.ndarray, n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words ``v`` before pairs, each pair's, and of each word for each model: counts of its pairs in toxic and in ordinary texts, and different ones in these and in either."""
+    one, back = np.unique(v, return_inverse=True)
+    out = []
+    for t, p in zip(n[::2], n[1::2]):
+        out += [np.bincount(back, x, len(one)) for x in (t, p, t > 0, p > 0, t + p > 0)]
+    return one, back, np.stack(out, axis=1).astype(np.int64)
+
+
+def divided_starts(pairs: DataFrame, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For starts(): the numbers of the words ``many``, over all parts."""
+    if not len(many):
+        return many, np.zeros((0, 5 * len(MODELS)), np.int64)
+    shared = pairs.sparkSession.sparkContext.broadcast(many)
+    names = [f"c{k}" for k in range(5 * len(MODELS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                v, _, *n = unpacked_pairs(data.as_py(), 6)
+                one, _, have = starts(v, n)
+                mine = places(shared.value, one)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(one[mine].view(np.int64)), *[pa.array(x) for x in have[mine].T.copy()]], names=["key", *names])
+
+    out = pairs.select("data").mapInArrow(released(run), "key long, " + ", ".join(f"{c} long" for c in names)).groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    key = out.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(key)
+    return key[by], np.stack([out.column(c).to_numpy() for c in names], axis=1)[by]
+
+
+def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, models: tuple[str, ...], sieved: Broadcast | None = None) -> DataFrame:
+    """(key, w+m for each of ``models``, often) of all pairs of every_pair(), or of those that ``sieved`` lets through: what a pair adds to the ratio of its word, whose chances ``chance`` has.
+
+    P(word | word before) = (1 - b) q + b ((1 - DISCOUNT) / k + DISCOUNT P(word)): interpolated Kneser-Ney. q is the pair's share of what the pairs after the word before keep in a class
+    beyond its discount; b is the share that they lose in both classes, and k counts the different ones of both. A pair never seen after a word has neither q nor 1 / k, so b falls out of its ratio.
+    A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1.
+    """
+    spark = pairs.sparkSession
+    off, divided = discounts(pairs), spark.sparkContext.broadcast(divided_starts(pairs, many))
+    at = [MODELS.index(m) for m in models]
+    names = [c + m for m in models for c in ("at", "ap", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                v, w, *n = unpacked_pairs(data.as_py(), 6)
+                one, back, have = starts(v, n)
+                spot, mine = places(divided.value[0], one)
+                have[mine] = divided.value[1][spot[mine]]
+                key = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
+                take = np.flatnonzero(passes(sieved.value, key)) if sieved is not None else np.arange(len(v))
+                for some in np.array_split(take, len(take) // (1 << 16) + 1):
+                    out = []
+                    for k in at:
+                        all_, kinds_, either = have[:, 5 * k : 5 * k + 2], have[:, 5 * k + 2 : 5 * k + 4], np.maximum(have[:, 5 * k + 4], 1)
+                        lost = kinds_ * np.array(off[2 * k : 2 * k + 2])
+                        b = (lost.sum(1) / np.maximum(all_.sum(1), 1))[back[some]]
+                        seen = n[2 * k][some] + n[2 * k + 1][some] > 0
+                        for c in (0, 1):
+                            keeps, x = (all_ - lost)[:, c][back[some]], n[2 * k + c][some]
+                            q = np.where(keeps > 0, np.maximum(x - off[2 * k + c], 0) / np.where(keeps > 0, keeps, 1), 1 / either[back[some]])
+                            out.append(np.where(seen, (1 - b) * q + b * (1 - DISCOUNT) / either[back[some]], 0))
+                        out.append(np.where(seen, b * DISCOUNT, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(w[some].view(np.int64)), pa.array((n[0] + n[1])[some]), *[pa.array(x.astype(np.float32)) for x in out]], names=["pair", "word", "often", *names])
+
+    found = pairs.select("data").mapInArrow(released(run), "pair long, word long, often long, " + ", ".join(f"{c} float" for c in names))
+    found = found.join(chance.drop("often"), F.col("word") == F.col("key"))
+    extra = []
+    for m in models:
+        toxic, plain, b = F.col("toxic" + m), F.col("plain" + m), F.col("b" + m)
+        extra.append((ratio(F.col("at" + m) + b * toxic, F.col("ap" + m) + b * plain) - ratio(toxic, plain)).alias("w" + m))
+    return found.select(F.col("pair").alias("key"), *extra, "often")
+
+
+def pair_slots(pairs: DataFrame) -> DataFrame:
+    """The sieve's slots of all pairs of every_pair()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                v, w, *_ = unpacked_pairs(data.as_py(), 6)
+                yield pa.RecordBatch.from_arrays([pa.array(slot(mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))))], names=["slot"])
+
+    return pairs.select("data").mapInArrow(released(run), "slot long")
+
+
+def text_slots(docs: DataFrame) -> DataFrame:
+    """The sieve's slots of the pairs of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_bytes(batch.column("text"))
+            for i, j in slices(off):
+                t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(t.pair[~t.opens])))], names=["slot"])
+
+    return docs.select("text").mapInArrow(released(run), "slot long")
+
+
 def reader(allowed: Broadcast):
     """For ``summed``: the words of a slice of texts, and the pairs of them that the sieve lets through."""
 
@@ -314,8 +527,11 @@ def crc_left(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None, fit_rows: int) -> tuple[DataFrame, tuple[float, float] | None]:
-    """The rows of ``docs`` (text and others) without text, with ratio beside; and the slope and the cut of the score, None without both classes."""
+def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None, fit_rows: int, every: bool = False) -> tuple[DataFrame, tuple[float, float] | None]:
+    """The rows of ``docs`` (text and others) without text, with ratio beside; and the slope and the cut of the score, None without both classes.
+
+    With ``every``, all pairs of both classes are learned, by every_pair(); else those of learned_pairs(), which are few.
+    """
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     if held_out is not None:
         known = known.where(~held_out)
@@ -326,12 +542,23 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
     bound_batches(spark)
     labelled = beside(known).where("text is not null")
     words = stored(word_counts(labelled), "words")
-    pairs = learned_pairs(labelled, words)
-    allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
-    table, default = weights(words, pairs)
-    table = stored(table, "weights")
     sample = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", "toxic").limit(fit_rows).drop("order")
-    found = summed(beside(stored(sample, "sample")), table.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
+    sample = beside(stored(sample, "sample"))
+    if every:
+        pairs, many = every_pair(labelled, words)
+        pairs = stored(pairs, "pairs")
+        allowed = spark.sparkContext.broadcast(sieve(pair_slots(pairs)))
+        asked = spark.sparkContext.broadcast(sieve(text_slots(sample)))
+        alone, stems, root, default = word_weights(words)
+        halves = alone.select("key", "w_0", "w_1", "often").unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS[1:]), MODELS[1:], asked))
+        table = alone.select("key", "w", "often").unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS[:1]), MODELS[:1]))
+        halves, table = stored(halves, "halves"), stored(table, "weights")
+    else:
+        pairs = learned_pairs(labelled, words)
+        allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
+        table, default = weights(words, pairs)
+        halves = table = stored(table, "weights")
+    found = summed(sample, halves.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
     fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
     y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
     learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
@@ -343,8 +570,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     """Per row of ``docs`` (doc_id, text): the columns ``carry`` and score, from 0 to 1 and higher for a toxic text; other columns are ignored.
 
     The score rises with the log likelihood ratio of the toxic and the ordinary model, divided by the number of words. Both are interpolated
-    Kneser-Ney models: a word given the word before, backing off to the word, then to its first 6 bytes, then to counts of different words that
-    both classes share. A toxic text is taken to have SHARE of its words from the toxic model and the others from the ordinary one, so that
+    Kneser-Ney models: a word given the word before, for all pairs of words in labelled texts of either class, backing off to counts of different pairs that both classes share and
+    to the word, then to its first 6 bytes, then to counts of different words that both classes share. A toxic text is taken to have SHARE of its words from the toxic model and the others from the ordinary one, so that
     words that chance put into few texts weigh little.
 
     ``labels`` has doc_id and toxic (1 or 0); rows with ``held_out`` true (a condition on
@@ -359,7 +586,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column | None
     """
     if {"text", "n", "s0", "ratio", "score"} & set(carry):
         raise ValueError("carry has a name that the result needs")
-    out, learned = toxicity_ratios(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), labels, held_out, fit_rows)
+    out, learned = toxicity_ratios(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), labels, held_out, fit_rows, every=True)
     score = F.lit(0.0)
     if learned:
         z = (F.col("ratio") - learned[1]) * learned[0] + float(np.log(AT_CUT / (1 - AT_CUT)))

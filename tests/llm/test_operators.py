@@ -448,6 +448,81 @@ def test_pairs_are_counted_by_words_before(spark):
     assert [tuple(r) for r in got] == [(1, 0, 0, 3, 0, 0)]
 
 
+def every_pair_by_dictionaries(texts, learned):
+    """Each text's ratio with all pairs of both classes, and sums of the chances of all words given the word before, in ordinary and toxic texts."""
+    split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.lower().encode())
+    words, before = defaultdict(Counter), (defaultdict(set), defaultdict(set))
+    for t, y in learned:
+        w = split(t)
+        words[y].update(w)
+        for k in range(1, len(w)):
+            before[y][w[k - 1], w[k]].add(w[k - 2] if k > 1 else None)
+    count = [{p: len(u) for p, u in before[y].items()} for y in (0, 1)]
+    off = [(sum(n == 1 for n in c.values()) + 1) / (sum(n == 1 for n in c.values()) + 2 * sum(n == 2 for n in c.values()) + 2) for c in count]
+    either = set(words[0]) | set(words[1])
+    stems = {w[:6] for w in either}
+
+    def alone(w, y):
+        n = sum(words[y].values())
+        own, below = sum(c for x, c in words[y].items() if x[:6] == w[:6]), {x for x in either if x[:6] == w[:6]}
+        p = (len(below) + 1) / (len(either) + len(stems) + 1)
+        p = (max(own - 0.75, 0) + 0.75 * len({x[:6] for x in words[y]}) * p) / n
+        q = (2 if w in either else 1) / (2 * len(below) + 1) if len(w) > 5 else 1
+        if own and len(w) > 5:
+            q = (max(words[y][w] - 0.75, 0) + 0.75 * len({x for x in words[y] if x[:6] == w[:6]}) * q) / own
+        return p * q
+
+    def after(v, w, y):
+        mine = [{p[1]: n for p, n in c.items() if p[0] == v} for c in count]
+        different = set(mine[0]) | set(mine[1])
+        if not different:
+            return alone(w, y)
+        back = sum(off[c] * len(mine[c]) for c in (0, 1)) / sum(sum(m.values()) for m in mine)
+        own = {x: n - off[y] for x, n in mine[y].items()} or dict.fromkeys(different, 1)
+        return (1 - back) * own.get(w, 0) / sum(own.values()) + back * (0.25 * (w in different) / len(different) + 0.75 * alone(w, y))
+
+    out = []
+    for t in texts:
+        w = split(t)
+        out.append(np.mean([np.log(0.995 + 0.005 * after(v, x, 1) / after(v, x, 0)) for v, x in zip([None, *w], w)]) if w else 0.0)
+    unseen = [*(s + b"~~~~~~~~" for s in stems if len(s) > 5), b"~~~~~~~~"]
+    return out, [sum(after(v, w, y) for w in [*either, *unseen]) for y in (0, 1) for v in (None, b"bad", b"the", b"go", b"house", b"idea", b"never")]
+
+
+@pytest.mark.parametrize("part, block", [(1 << 20, 1 << 19), (40, 30)])
+def test_every_pair_is_learned(spark, monkeypatch, part, block):
+    """Ratios of all three models against dictionaries, whose chances sum to 1, and those of the query's own path; in small parts, with pairs of frequent words in many of them, too."""
+    monkeypatch.setattr(toxicity, "PART_PAIRS", part)
+    monkeypatch.setattr(toxicity, "BLOCK_PAIRS", block)
+    texts = [t for t, _ in SENTENCES] + ["You IDIOT, go!", "the ideal lake", "idiots", "neverseen bad pair", "bad idea bad pair", "the house go", "go go go go", "lake the bad house", ""]
+    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int").repartition(5)
+    words = toxicity.word_counts(labelled).cache()
+    pairs, many = toxicity.every_pair(labelled, words)
+    assert (len(many) > 0) == (part == 40)
+    table, stems, root, default = toxicity.word_weights(words)
+    table = table.unionByName(toxicity.pair_weights(pairs.cache(), many, toxicity.word_chances(words, stems, root, toxicity.MODELS), toxicity.MODELS))
+    assert table.count() == table.select("key").distinct().count()
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bits = toxicity.sieve(toxicity.pair_slots(pairs))
+    got = lookup.summed(docs_, table, 3, np.array(default), toxicity.reader(spark.sparkContext.broadcast(bits))).orderBy("doc_id").collect()
+    for m, half in enumerate((None, 0, 1)):
+        want, sums = every_pair_by_dictionaries(texts, [x for i, x in enumerate(SENTENCES) if half is None or i % 2 == half])
+        assert np.allclose(sums, 1)
+        assert np.allclose([r[f"s{m}"] / max(r.n, 1) for r in got], want, rtol=1e-4, atol=1e-7)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(SENTENCES)], "doc_id long, toxic int")
+    ratios = {r.doc_id: r.ratio for r in toxicity.toxicity_ratios(docs_, labels, None, 1000, every=True)[0].collect()}
+    assert np.allclose([ratios[i] for i in range(len(texts))], every_pair_by_dictionaries(texts, SENTENCES)[0], rtol=1e-4, atol=1e-7)
+
+
+def test_few_pairs_count(spark):
+    """Of words that both classes have equally often, pairs seen after one or two words in toxic or in ordinary texts alone change the score."""
+    bad, good = [f"w{k} {x} {x}" for k in (1, 2) for x in ("alpha", "beta")] + ["idiot one"] * 4, ["w1 alpha beta", "w2 alpha beta", "w1 beta alpha", "w2 beta alpha"] + ["house one"] * 4
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)] + [(100, "alpha alpha"), (101, "alpha beta")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(16)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(table, labels).collect()}
+    assert got[100] > got[101] + 0.01
+
+
 def test_rare_words_keep_their_own_counts(spark, monkeypatch):
     """Two words of one stem, one in toxic texts and one in plain ones, many parts; without broadcast rows, and with some."""
     bad, good = "bridge17", "bridge4711"
