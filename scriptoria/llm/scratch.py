@@ -6,6 +6,7 @@ ran on it, never the chain of stages before the table.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,8 +48,24 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def collected(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles and broadcasts of results that nobody holds any more, which it does only when driver objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of stored() that no result reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; the caller does it once results have been consumed, as results read them until then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scriptoria-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/scriptoria-{spark.sparkContext.applicationId}")

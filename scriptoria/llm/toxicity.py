@@ -10,9 +10,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.kernels import LOWER, Words, mix, released, slices, text_bytes
+from scriptoria.llm.kernels import LOWER, Words, give_back, mix, released, slices, text_bytes
 from scriptoria.llm.lookup import OWN_BITS, places, squeezed, summed, unsqueezed
-from scriptoria.llm.scratch import bound_batches, stored
+from scriptoria.llm.scratch import bound_batches, collected, drop, stored
 
 #: A word that is rare is learned from the others with its first so many bytes.
 STEM = 6
@@ -28,6 +28,8 @@ AT_CUT = 0.7
 MAX_BROADCAST = 500_000
 #: Bits of a sieve, whatever the corpus; a full one lets all keys through and changes no result.
 SIEVE_BITS = 26
+#: Bits of a range of a sieve's slots.
+RANGE_BITS = 6
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
 #: Occurrences of pairs that a part has, about, and that a task holds before it packs them. It changes no result.
@@ -419,73 +421,123 @@ def divided_starts(pairs: DataFrame, many: np.ndarray) -> tuple[np.ndarray, np.n
     return key[by], np.stack([out.column(c).to_numpy() for c in names], axis=1)[by]
 
 
-def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, models: tuple[str, ...], sieved: Broadcast | None = None) -> DataFrame:
-    """(key, w+m for each of ``models``, often) of all pairs of every_pair(), or of those that ``sieved`` lets through: what a pair adds to the ratio of its word, whose chances ``chance`` has.
+def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame) -> DataFrame:
+    """(key, w, w_0, w_1, often) of all pairs of every_pair(): what a pair adds to the ratio of its word, whose chances ``chance`` has.
 
     P(word | word before) = (1 - b) q + b ((1 - DISCOUNT) / k + DISCOUNT P(word)): interpolated Kneser-Ney. q is the pair's share of what the pairs after the word before keep in a class
     beyond its discount; b is the share that they lose in both classes, and k counts the different ones of both. A pair never seen after a word has neither q nor 1 / k, so b falls out of its ratio.
-    A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1.
+    A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1. A part of the pairs gets the chances of its words by shuffle.
     """
     spark = pairs.sparkSession
     off, divided = discounts(pairs), spark.sparkContext.broadcast(divided_starts(pairs, many))
-    at = [MODELS.index(m) for m in models]
-    names = [c + m for m in models for c in ("at", "ap", "b")]
+    names = [c + m for m in MODELS for c in ("toxic", "plain")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("data"):
-                v, w, *n = unpacked_pairs(data.as_py(), 6)
-                one, back, have = starts(v, n)
-                spot, mine = places(divided.value[0], one)
-                have[mine] = divided.value[1][spot[mine]]
-                key = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
-                take = np.flatnonzero(passes(sieved.value, key)) if sieved is not None else np.arange(len(v))
-                for some in np.array_split(take, len(take) // (1 << 16) + 1):
-                    out = []
-                    for k in at:
-                        all_, kinds_, either = have[:, 5 * k : 5 * k + 2], have[:, 5 * k + 2 : 5 * k + 4], np.maximum(have[:, 5 * k + 4], 1)
-                        lost = kinds_ * np.array(off[2 * k : 2 * k + 2])
-                        b = (lost.sum(1) / np.maximum(all_.sum(1), 1))[back[some]]
-                        seen = n[2 * k][some] + n[2 * k + 1][some] > 0
-                        for c in (0, 1):
-                            keeps, x = (all_ - lost)[:, c][back[some]], n[2 * k + c][some]
-                            q = np.where(keeps > 0, np.maximum(x - off[2 * k + c], 0) / np.where(keeps > 0, keeps, 1), 1 / either[back[some]])
-                            out.append(np.where(seen, (1 - b) * q + b * (1 - DISCOUNT) / either[back[some]], 0))
-                        out.append(np.where(seen, b * DISCOUNT, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(w[some].view(np.int64)), pa.array((n[0] + n[1])[some]), *[pa.array(x.astype(np.float32)) for x in out]], names=["pair", "word", "often", *names])
-
-    found = pairs.select("data").mapInArrow(released(run), "pair long, word long, often long, " + ", ".join(f"{c} float" for c in names))
-    found = found.join(chance.drop("often"), F.col("word") == F.col("key"))
-    extra = []
-    for m in models:
-        toxic, plain, b = F.col("toxic" + m), F.col("plain" + m), F.col("b" + m)
-        extra.append((ratio(F.col("at" + m) + b * toxic, F.col("ap" + m) + b * plain) - ratio(toxic, plain)).alias("w" + m))
-    return found.select(F.col("pair").alias("key"), *extra, "often")
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                w = np.unique(unpacked_pairs(data.as_py(), 6)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), p, np.int32)), pa.array(w.view(np.int64))], names=["part", "word"])
+
+    def weigh(part: pa.Table, words: pa.Table) -> pa.Table:
+        out = []
+        key = words.column("word").to_numpy().astype(np.int64).view(np.uint64)
+        by = np.argsort(key)
+        key, alone = key[by], [words.column(c).to_numpy()[by].astype(float) for c in names]
+        for data in part.column("data"):
+            v, w, *n = unpacked_pairs(data.as_py(), 6)
+            one, back, have = starts(v, n)
+            spot, mine = places(divided.value[0], one)
+            have[mine] = divided.value[1][spot[mine]]
+            at = np.searchsorted(key, w)
+            more = []
+            for k in range(len(MODELS)):
+                all_, kinds_, either = have[:, 5 * k : 5 * k + 2], have[:, 5 * k + 2 : 5 * k + 4], np.maximum(have[:, 5 * k + 4], 1)
+                lost = kinds_ * np.array(off[2 * k : 2 * k + 2])
+                b, whole = (lost.sum(1) / np.maximum(all_.sum(1), 1))[back], either[back]
+                p = [x[at] for x in alone[2 * k : 2 * k + 2]]
+                after = []
+                for c in (0, 1):
+                    keeps = (all_ - lost)[:, c][back]
+                    q = np.where(keeps > 0, np.maximum(n[2 * k + c] - off[2 * k + c], 0) / np.where(keeps > 0, keeps, 1), 1 / whole)
+                    after.append((1 - b) * q + b * ((1 - DISCOUNT) / whole + DISCOUNT * p[c]))
+                gain = np.log((1 - SHARE + SHARE * after[0] / after[1]) / (1 - SHARE + SHARE * p[0] / p[1]))
+                more.append(np.where(n[2 * k] + n[2 * k + 1] > 0, gain, 0).astype(np.float32))
+            pair = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
+            out.append(pa.table([pa.array(pair.view(np.int64)), *map(pa.array, more), pa.array(n[0] + n[1])], names=["key", *["w" + m for m in MODELS], "often"]))
+        give_back()
+        return pa.concat_tables(out)
+
+    pairs = pairs.select("part", "data")
+    asked = pairs.mapInArrow(released(ask), "part int, word long").join(chance, F.col("word") == F.col("key")).select("part", "word", *[F.col(c).cast("float").alias(c) for c in names])
+    return pairs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(weigh, "key long, " + ", ".join(f"w{m} float" for m in MODELS) + ", often long")
+
+
+def ored(slots: DataFrame) -> np.ndarray:
+    """As sieve(), of the column data with packed slots, each batch's in parts by range; bits of a range meet by shuffle."""
+    size = 1 << (SIEVE_BITS - 6 - RANGE_BITS)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                at = np.cumsum(unsqueezed(data.as_py(), 1)[0]).astype(np.int64)
+                own = bits.setdefault(p, np.zeros(size, np.int64))
+                new = np.flatnonzero(np.append(True, at[1:] >> 6 != at[:-1] >> 6))
+                own[at[new] >> 6] |= np.bitwise_or.reduceat(np.int64(1) << (at & 63), new)
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([x.tobytes() for x in bits.values()], pa.binary())], names=["part", "data"])
+
+    got = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(released(join), "part int, data binary").toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    for p, data in zip(got.column("part").to_pylist(), got.column("data")):
+        out[p * size : (p + 1) * size] = np.frombuffer(data.as_py(), np.int64)
+    return out
+
+
+def packed_slots(keys: np.ndarray) -> pa.RecordBatch:
+    at = np.unique(slot(keys))
+    bits = SIEVE_BITS - RANGE_BITS
+    cuts = np.searchsorted(at >> bits, np.arange((1 << RANGE_BITS) + 1))
+    have = np.flatnonzero(np.diff(cuts)).tolist()
+    data = [squeezed(np.diff(at[cuts[p] : cuts[p + 1]] - (p << bits), prepend=0)) for p in have]
+    return pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
 
 def pair_slots(pairs: DataFrame) -> DataFrame:
-    """The sieve's slots of all pairs of every_pair()."""
+    """For ored(): the slots of all pairs of every_pair()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data"):
                 v, w, *_ = unpacked_pairs(data.as_py(), 6)
-                yield pa.RecordBatch.from_arrays([pa.array(slot(mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))))], names=["slot"])
+                yield packed_slots(mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w)))
 
-    return pairs.select("data").mapInArrow(released(run), "slot long")
+    return pairs.select("data").mapInArrow(released(run), "part int, data binary")
 
 
 def text_slots(docs: DataFrame) -> DataFrame:
-    """The sieve's slots of the pairs of texts."""
+    """For ored(): the slots of the keys of texts, of words, stems and pairs."""
+    own = np.uint64((1 << OWN_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
+            found = [np.zeros(0, np.uint64)]
             for i, j in slices(off):
                 t = Terms(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot(t.pair[~t.opens])))], names=["slot"])
+                found.append(np.unique(np.concatenate([t.word, t.word & ~own, t.pair[~t.opens]])))
+            yield packed_slots(np.concatenate(found))
+
+    return docs.select("text").mapInArrow(released(run), "part int, data binary")
+
+
+def let_through(table: DataFrame, sieved: Broadcast) -> DataFrame:
+    """The rows of ``table`` whose key the sieve lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(sieved.value, batch.column("key").to_numpy().astype(np.int64).view(np.uint64))))
 
-    return docs.select("text").mapInArrow(released(run), "slot long")
+    return table.mapInArrow(released(run), table.schema)
 
 
 def reader(allowed: Broadcast):
@@ -547,12 +599,14 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
     if every:
         pairs, many = every_pair(labelled, words)
         pairs = stored(pairs, "pairs")
-        allowed = spark.sparkContext.broadcast(sieve(pair_slots(pairs)))
-        asked = spark.sparkContext.broadcast(sieve(text_slots(sample)))
+        collected(spark)
+        allowed = spark.sparkContext.broadcast(ored(pair_slots(pairs)))
         alone, stems, root, default = word_weights(words)
-        halves = alone.select("key", "w_0", "w_1", "often").unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS[1:]), MODELS[1:], asked))
-        table = alone.select("key", "w", "often").unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS[:1]), MODELS[:1]))
-        halves, table = stored(halves, "halves"), stored(table, "weights")
+        alone = alone.select("key", *[F.col("w" + m).cast("float").alias("w" + m) for m in MODELS], "often")
+        table = stored(alone.unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS))), "weights")
+        drop(words, stems, pairs)
+        halves = let_through(table, spark.sparkContext.broadcast(ored(text_slots(sample))))
+        collected(spark)
     else:
         pairs = learned_pairs(labelled, words)
         allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
@@ -560,6 +614,8 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
         halves = table = stored(table, "weights")
     found = summed(sample, halves.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
     fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
+    del found, halves
+    collected(spark)
     y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
     learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
     out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed))

@@ -500,10 +500,10 @@ def test_every_pair_is_learned(spark, monkeypatch, part, block):
     pairs, many = toxicity.every_pair(labelled, words)
     assert (len(many) > 0) == (part == 40)
     table, stems, root, default = toxicity.word_weights(words)
-    table = table.unionByName(toxicity.pair_weights(pairs.cache(), many, toxicity.word_chances(words, stems, root, toxicity.MODELS), toxicity.MODELS))
+    table = table.unionByName(toxicity.pair_weights(pairs.cache(), many, toxicity.word_chances(words, stems, root, toxicity.MODELS)))
     assert table.count() == table.select("key").distinct().count()
     docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    bits = toxicity.sieve(toxicity.pair_slots(pairs))
+    bits = toxicity.ored(toxicity.pair_slots(pairs))
     got = lookup.summed(docs_, table, 3, np.array(default), toxicity.reader(spark.sparkContext.broadcast(bits))).orderBy("doc_id").collect()
     for m, half in enumerate((None, 0, 1)):
         want, sums = every_pair_by_dictionaries(texts, [x for i, x in enumerate(SENTENCES) if half is None or i % 2 == half])
