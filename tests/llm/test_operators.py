@@ -523,6 +523,12 @@ def test_few_pairs_count(spark):
     assert got[100] > got[101] + 0.01
 
 
+def test_pipeline_learns_every_pair(spark, docs, monkeypatch):
+    """Its toxicity stage takes no model of few pairs."""
+    monkeypatch.setattr(toxicity, "learned_pairs", None)
+    assert 0 < corpus_pipeline.drop_toxic(spark, docs, DATA).count() <= docs.count()
+
+
 def test_rare_words_keep_their_own_counts(spark, monkeypatch):
     """Two words of one stem, one in toxic texts and one in plain ones, many parts; without broadcast rows, and with some."""
     bad, good = "bridge17", "bridge4711"
