@@ -17,9 +17,9 @@ BLOCK_BYTES = 16 << 20
 #: Table rows that a task packs at a time.
 PACK_ROWS = 1 << 17
 #: Rows at most that are broadcast, the most frequent ones; nobody asks for these. It changes no result but the last digits of sums.
-COMMON = 1 << 16
+COMMON = 1 << 20
 #: Table rows that a part has, about; a task holds one part at a time.
-PART_ROWS = 1 << 18
+PART_ROWS = 1 << 19
 #: A key is that of a group of keys, with these bits 0, and its own number in the group.
 OWN_BITS = 24
 TABLE, FALLING, EXACT, BASE, REPLY = range(5)
@@ -53,8 +53,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _parts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places) of keys; a group's keys share one."""
-    part = ((keys >> np.uint64(OWN_BITS)) % np.uint64(parts)).astype(np.int64)
+    """(part, places) of keys, by range, so that keys of a part differ by less; a group's keys share one."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[by], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
@@ -74,12 +74,12 @@ def places(have: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, have[at] == asked
 
 
-def common_rows(table: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and weights of the rows whose ``often`` is at least the least power of two that leaves no more than COMMON."""
+def common_rows(table: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and weights of the rows whose ``often`` is at least the least power of two that leaves no more than ``most``."""
     octaves = table.where("often > 0").groupBy(F.floor(F.log2("often")).alias("octave")).count().collect()  # one row for each power of two
     least, rows = 64, 0
     for octave, n in sorted(map(tuple, octaves), reverse=True):
-        if rows + n > COMMON:
+        if rows + n > most:
             break
         least, rows = octave, rows + n
     if not rows:
@@ -102,7 +102,7 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(tasks // 4, -(-table.count() // PART_ROWS), 1)
-    common = spark.sparkContext.broadcast(common_rows(table, width))
+    common = spark.sparkContext.broadcast(common_rows(table, width, COMMON))
     keep = [c for c in docs.columns if c != "text"]
     sums = [f"s{i}" for i in range(width)]
 

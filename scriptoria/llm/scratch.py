@@ -10,11 +10,14 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes at most of an Arrow batch; one larger row makes a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,11 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back with its own schema."""
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Results that are planned and consumed inside leave no shuffle files; else these stay until the driver collects its garbage, and some time after."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back with its own schema; the write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptoria-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

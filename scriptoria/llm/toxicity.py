@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import LOWER, Words, give_back, mix, released, slices, text_bytes
-from scriptoria.llm.lookup import OWN_BITS, places, squeezed, summed, unsqueezed
-from scriptoria.llm.scratch import bound_batches, collected, drop, stored
+from scriptoria.llm.lookup import OWN_BITS, common_rows, places, squeezed, summed, unsqueezed
+from scriptoria.llm.scratch import bound_batches, collected, drop, stored, tidy
 
 #: A word that is rare is learned from the others with its first so many bytes.
 STEM = 6
@@ -36,6 +36,8 @@ COUNTS = ["toxic_0", "plain_0", "toxic_1", "plain_1"]
 PART_PAIRS, BLOCK_PAIRS = 1 << 20, 1 << 19
 #: Words at most whose pairs are dealt one by one, those with more occurrences than an eighth of a part; all pairs after another word lie in one part.
 MANY = 1 << 12
+#: Words at most whose chances are broadcast to the parts of the pairs, the most frequent ones; parts ask for the others. It changes no result.
+COMMON_WORDS = 1 << 16
 #: The models, of both halves of the labelled rows and of each: their columns of toxic and of ordinary counts.
 MODELS = ("", "_0", "_1")
 #: How many pairs have a count of 1 and of 2, for the six counts of every_pair().
@@ -421,28 +423,32 @@ def divided_starts(pairs: DataFrame, many: np.ndarray) -> tuple[np.ndarray, np.n
     return key[by], np.stack([out.column(c).to_numpy() for c in names], axis=1)[by]
 
 
-def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame) -> DataFrame:
+def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, halved: Broadcast | None = None) -> DataFrame:
     """(key, w, w_0, w_1, often) of all pairs of every_pair(): what a pair adds to the ratio of its word, whose chances ``chance`` has.
 
     P(word | word before) = (1 - b) q + b ((1 - DISCOUNT) / k + DISCOUNT P(word)): interpolated Kneser-Ney. q is the pair's share of what the pairs after the word before keep in a class
     beyond its discount; b is the share that they lose in both classes, and k counts the different ones of both. A pair never seen after a word has neither q nor 1 / k, so b falls out of its ratio.
-    A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1. A part of the pairs gets the chances of its words by shuffle.
+    A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1. A part of the pairs gets the chances of its words by
+    shuffle, but for the most frequent ones. w_0 and w_1 are null of pairs that ``halved`` doesn't let through, if it is given.
     """
     spark = pairs.sparkSession
     off, divided = discounts(pairs), spark.sparkContext.broadcast(divided_starts(pairs, many))
     names = [c + m for m in MODELS for c in ("toxic", "plain")]
+    chance = chance.select("key", *[F.col(c).cast("float").alias(c) for c in names], "often")
+    common = spark.sparkContext.broadcast(common_rows(chance, len(names), COMMON_WORDS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("part").to_pylist(), batch.column("data")):
                 w = np.unique(unpacked_pairs(data.as_py(), 6)[1])
+                w = w[~places(common.value[0], w)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), p, np.int32)), pa.array(w.view(np.int64))], names=["part", "word"])
 
     def weigh(part: pa.Table, words: pa.Table) -> pa.Table:
         out = []
-        key = words.column("word").to_numpy().astype(np.int64).view(np.uint64)
+        key = np.append(common.value[0], words.column("word").to_numpy().astype(np.int64).view(np.uint64))
         by = np.argsort(key)
-        key, alone = key[by], [words.column(c).to_numpy()[by].astype(float) for c in names]
+        key, alone = key[by], [np.append(x, words.column(c).to_numpy().astype(float))[by] for c, x in zip(names, common.value[1].T)]
         for data in part.column("data"):
             v, w, *n = unpacked_pairs(data.as_py(), 6)
             one, back, have = starts(v, n)
@@ -463,12 +469,13 @@ def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame) -> DataF
                 gain = np.log((1 - SHARE + SHARE * after[0] / after[1]) / (1 - SHARE + SHARE * p[0] / p[1]))
                 more.append(np.where(n[2 * k] + n[2 * k + 1] > 0, gain, 0).astype(np.float32))
             pair = mix(v * np.uint64(0x9E3779B97F4A7C15) ^ mix(w))
-            out.append(pa.table([pa.array(pair.view(np.int64)), *map(pa.array, more), pa.array(n[0] + n[1])], names=["key", *["w" + m for m in MODELS], "often"]))
+            none = None if halved is None else ~passes(halved.value, pair)
+            out.append(pa.table([pa.array(pair.view(np.int64)), pa.array(more[0]), *[pa.array(x, mask=none) for x in more[1:]], pa.array(n[0] + n[1])], names=["key", *["w" + m for m in MODELS], "often"]))
         give_back()
         return pa.concat_tables(out)
 
     pairs = pairs.select("part", "data")
-    asked = pairs.mapInArrow(released(ask), "part int, word long").join(chance, F.col("word") == F.col("key")).select("part", "word", *[F.col(c).cast("float").alias(c) for c in names])
+    asked = pairs.mapInArrow(released(ask), "part int, word long").join(chance, F.col("word") == F.col("key")).select("part", "word", *names)
     return pairs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(weigh, "key long, " + ", ".join(f"w{m} float" for m in MODELS) + ", often long")
 
 
@@ -486,7 +493,8 @@ def ored(slots: DataFrame) -> np.ndarray:
                 own[at[new] >> 6] |= np.bitwise_or.reduceat(np.int64(1) << (at & 63), new)
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([x.tobytes() for x in bits.values()], pa.binary())], names=["part", "data"])
 
-    got = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(released(join), "part int, data binary").toArrow()
+    with tidy(slots.sparkSession):
+        got = slots.repartition(int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(released(join), "part int, data binary").toArrow()
     out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     for p, data in zip(got.column("part").to_pylist(), got.column("data")):
         out[p * size : (p + 1) * size] = np.frombuffer(data.as_py(), np.int64)
@@ -530,16 +538,6 @@ def text_slots(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(released(run), "part int, data binary")
 
 
-def let_through(table: DataFrame, sieved: Broadcast) -> DataFrame:
-    """The rows of ``table`` whose key the sieve lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(sieved.value, batch.column("key").to_numpy().astype(np.int64).view(np.uint64))))
-
-    return table.mapInArrow(released(run), table.schema)
-
-
 def reader(allowed: Broadcast):
     """For ``summed``: the words of a slice of texts, and the pairs of them that the sieve lets through."""
 
@@ -603,17 +601,22 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
         allowed = spark.sparkContext.broadcast(ored(pair_slots(pairs)))
         alone, stems, root, default = word_weights(words)
         alone = alone.select("key", *[F.col("w" + m).cast("float").alias("w" + m) for m in MODELS], "often")
-        table = stored(alone.unionByName(pair_weights(pairs, many, word_chances(words, stems, root, MODELS))), "weights")
-        drop(words, stems, pairs)
-        halves = let_through(table, spark.sparkContext.broadcast(ored(text_slots(sample))))
+        chance = stored(word_chances(words, stems, root, MODELS), "chances")
+        halved = spark.sparkContext.broadcast(ored(text_slots(sample)))  # of the halves' models, no weight is kept that the sample doesn't ask for
+        collected(spark)
+        table = stored(alone.unionByName(pair_weights(pairs, many, chance, halved)), "weights", "zstd")
+        halved.destroy()
+        drop(words, stems, chance, pairs)
+        halves = table.where("w_0 is not null")
         collected(spark)
     else:
         pairs = learned_pairs(labelled, words)
         allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
         table, default = weights(words, pairs)
         halves = table = stored(table, "weights")
-    found = summed(sample, halves.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
-    fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
+    with tidy(spark):
+        found = summed(sample, halves.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
+        fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
     del found, halves
     collected(spark)
     y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()

@@ -514,6 +514,33 @@ def test_every_pair_is_learned(spark, monkeypatch, part, block):
     assert np.allclose([ratios[i] for i in range(len(texts))], every_pair_by_dictionaries(texts, SENTENCES)[0], rtol=1e-4, atol=1e-7)
 
 
+@pytest.mark.parametrize("common", [0, 9])
+def test_halves_weigh_what_the_sample_asks_for(spark, monkeypatch, common):
+    """Pairs that the sample's texts don't have keep one weight of three, the others all; the same with chances of words asked for by shuffle, and broadcast in part."""
+    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int").repartition(5)
+    words = toxicity.word_counts(labelled).cache()
+    pairs, many = toxicity.every_pair(labelled, words)
+    _, stems, root, _ = toxicity.word_weights(words)
+    chance = toxicity.word_chances(words, stems, root, toxicity.MODELS)
+    whole = {r.key: r for r in toxicity.pair_weights(pairs.cache(), many, chance).collect()}
+    monkeypatch.setattr(toxicity, "COMMON_WORDS", common)
+    bits = toxicity.ored(toxicity.text_slots(labelled.limit(3)))
+    got = {r.key: r for r in toxicity.pair_weights(pairs, many, chance, spark.sparkContext.broadcast(bits)).collect()}
+    asked = {k for k in got if toxicity.passes(bits, np.array([k]).view(np.uint64))[0]}
+    assert got.keys() == whole.keys() and 0 < len(asked) < len(got)
+    assert all(got[k] == whole[k] for k in asked)
+    assert all((r.w, r.w_0, r.w_1, r.often) == (whole[k].w, None, None, whole[k].often) for k, r in got.items() if k not in asked)
+
+
+def test_stored_leaves_no_shuffle(spark):
+    """The files of its write's shuffle are gone when it returns, and the table is whole."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.getName() for f in [manager.getAllFiles().apply(i) for i in range(manager.getAllFiles().size())] if f.getName().startswith("shuffle_")}
+    before = shuffles()
+    table = scratch.stored(spark.range(1000).withColumn("x", F.xxhash64("id")).repartition(3, "x"), "table")
+    assert table.selectExpr("sum(id)").first()[0] == 499500 and not {f for f in shuffles() - before if f.endswith(".data") and int(f.split("_")[1]) == min(int(g.split("_")[1]) for g in shuffles() - before)} or not shuffles() - before
+
+
 def test_few_pairs_count(spark):
     """Of words that both classes have equally often, pairs seen after one or two words in toxic or in ordinary texts alone change the score."""
     bad, good = [f"w{k} {x} {x}" for k in (1, 2) for x in ("alpha", "beta")] + ["idiot one"] * 4, ["w1 alpha beta", "w2 alpha beta", "w1 beta alpha", "w2 beta alpha"] + ["house one"] * 4
