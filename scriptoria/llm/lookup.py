@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.kernels import released, slices, text_bytes
+from scriptoria.llm.scratch import drop, stored
 
 #: Bytes of text after which a block is closed. A block asks for each of its keys once.
 BLOCK_BYTES = 16 << 20
@@ -19,7 +20,7 @@ PACK_ROWS = 1 << 17
 #: Rows at most that are broadcast, the most frequent ones; nobody asks for these. It changes no result but the last digits of sums.
 COMMON = 1 << 20
 #: Table rows that a part has, about; a task holds one part at a time.
-PART_ROWS = 1 << 19
+PART_ROWS = 1 << 20
 #: A key is that of a group of keys, with these bits 0, and its own number in the group.
 OWN_BITS = 24
 TABLE, FALLING, EXACT, BASE, REPLY = range(5)
@@ -74,8 +75,9 @@ def places(have: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, have[at] == asked
 
 
-def common_rows(table: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and weights of the rows whose ``often`` is at least the least power of two that leaves no more than ``most``."""
+def common_rows(table: DataFrame, width: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and weights of the rows whose ``often`` is at least the least power of two that leaves no more than ``most``, or COMMON."""
+    most = COMMON if most is None else most
     octaves = table.where("often > 0").groupBy(F.floor(F.log2("often")).alias("octave")).count().collect()  # one row for each power of two
     least, rows = 64, 0
     for octave, n in sorted(map(tuple, octaves), reverse=True):
@@ -87,10 +89,11 @@ def common_rows(table: DataFrame, width: int, most: int) -> tuple[np.ndarray, np
     got = table.where(F.floor(F.log2("often")) >= least).drop("often").toArrow().combine_chunks()
     k, x = _weights(got, width)
     by = np.argsort(k)
-    return k[by], x[by]
+    x = x[by]
+    return k[by], x.astype(np.float32) if (x.astype(np.float32) == x).all() else x
 
 
-def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, read: Callable) -> DataFrame:
+def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, read: Callable, common: Broadcast | None = None, last: bool = False) -> DataFrame:
     """The rows of ``docs`` without text, with n and s0, s1 ... beside: the number of terms of the text, and the sums of ``width`` weights of its keys.
 
     ``table`` has a long key, of its own in every row, ``width`` doubles, and last ``often``. ``read(raw, off)`` gives, of a slice of texts, the number of terms of each, and
@@ -98,11 +101,12 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
 
     A block of some BLOCK_BYTES of text looks its common keys up in broadcast rows. Of the others it sends each key with the documents that have it
     to the key's part of the table, in compressed lists; the sums that come from there go to the block's task, with the block's own. A document's terms are never rows.
+    ``common``, if given, has common_rows() of the table, so that the caller can delete them. With ``last``, ``table`` is of stored() and deleted as soon as its rows are packed, which take about half as much disk.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(tasks // 4, -(-table.count() // PART_ROWS), 1)
-    common = spark.sparkContext.broadcast(common_rows(table, width, COMMON))
+    common = common or spark.sparkContext.broadcast(common_rows(table, width))
     keep = [c for c in docs.columns if c != "text"]
     sums = [f"s{i}" for i in range(width)]
 
@@ -112,6 +116,8 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
         def out() -> pa.RecordBatch:
             k, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
+            rare = ~places(common.value[0], k)[1]
+            k, x = k[rare], x[rare]
             return _rows([(p, -1, TABLE, squeezed(k[at], *x[at].T.copy().view(np.uint64))) for p, at in _parts(k, n_parts)])
 
         for batch in batches:
@@ -229,7 +235,11 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
             yield out()
 
     schema = "part int, block long, kind int, data binary"
-    asks = table.drop("often").mapInArrow(released(pack), schema).unionByName(docs.mapInArrow(released(ask), schema))
+    packs = table.drop("often").mapInArrow(released(pack), schema)
+    if last:
+        packs = stored(packs, "packed")
+        drop(table)
+    asks = packs.unionByName(docs.mapInArrow(released(ask), schema))
     answers = asks.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(released(answer), schema)
     done = docs.select(*keep).schema.add("n", "long")
     for s in sums:

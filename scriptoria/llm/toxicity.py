@@ -614,14 +614,17 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
         allowed = spark.sparkContext.broadcast(sieve(with_slots(pairs.select("pair"), "pair")))
         table, default = weights(words, pairs)
         halves = table = stored(table, "weights")
+    halves = halves.select("key", "w_0", "w_1", "often")
+    common = spark.sparkContext.broadcast(common_rows(halves, 2))
     with tidy(spark):
-        found = summed(sample, halves.select("key", "w_0", "w_1", "often"), 2, np.array(default[1:]), reader(allowed))
+        found = summed(sample, halves, 2, np.array(default[1:]), reader(allowed), common)
         fit = found.select("toxic", (F.when(F.col("half") == 0, F.col("s1")).otherwise(F.col("s0")) / F.greatest("n", F.lit(1))).alias("ratio")).toArrow()
+    common.destroy()
     del found, halves
     collected(spark)
     y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
     learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
-    out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed))
+    out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed), last=every)
     return out.withColumn("ratio", F.col("s0") / F.greatest("n", F.lit(1))).drop("n", "s0"), learned
 
 
