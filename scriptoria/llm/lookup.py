@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,7 @@ def common_rows(table: DataFrame, width: int, most: int | None = None) -> tuple[
     return k[by], x.astype(np.float32) if (x.astype(np.float32) == x).all() else x
 
 
-def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, read: Callable, common: Broadcast | None = None, last: bool = False) -> DataFrame:
+def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, read: Callable, common: Broadcast | None = None, last: bool = False, rounds: int = 1) -> DataFrame:
     """The rows of ``docs`` without text, with n and s0, s1 ... beside: the number of terms of the text, and the sums of ``width`` weights of its keys.
 
     ``table`` has a long key, of its own in every row, ``width`` doubles, and last ``often``. ``read(raw, off)`` gives, of a slice of texts, the number of terms of each, and
@@ -101,11 +102,14 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
 
     A block of some BLOCK_BYTES of text looks its common keys up in broadcast rows. Of the others it sends each key with the documents that have it
     to the key's part of the table, in compressed lists; the sums that come from there go to the block's task, with the block's own. A document's terms are never rows.
-    ``common``, if given, has common_rows() of the table, so that the caller can delete them. With ``last``, ``table`` is of stored() and deleted as soon as its rows are packed, which take about half as much disk.
+    ``common``, if given, has common_rows() of the table, so that the caller can delete them. With ``last``, ``table`` is of stored() and deleted as soon as its rows are packed, which take less disk.
+
+    Texts ask in ``rounds``, dealt by a hash of the row: only one round's questions and answers are on disk at a time, beside the table. With more than one, the sums are stored, and the packed rows deleted when all are there.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = max(tasks // 4, -(-table.count() // PART_ROWS), 1)
+    own_common = common is None
     common = common or spark.sparkContext.broadcast(common_rows(table, width))
     keep = [c for c in docs.columns if c != "text"]
     sums = [f"s{i}" for i in range(width)]
@@ -118,7 +122,9 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
             held.clear()
             rare = ~places(common.value[0], k)[1]
             k, x = k[rare], x[rare]
-            return _rows([(p, -1, TABLE, squeezed(k[at], *x[at].T.copy().view(np.uint64))) for p, at in _parts(k, n_parts)])
+            by = np.argsort(k)
+            k, x = k[by], x[by]
+            return _rows([(p, -1, TABLE, squeezed(np.diff(k[at], prepend=np.uint64(0)), *x[at].T.copy().view(np.uint64))) for p, at in _parts(k, n_parts)])
 
         for batch in batches:
             held.append(_weights(batch, width))
@@ -186,7 +192,8 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
                 if p != now:
                     now, held, part = p, [], None
                 if kind == TABLE:
-                    held.append(unsqueezed(data, 1 + width))
+                    key, *x = unsqueezed(data, 1 + width)
+                    held.append([np.cumsum(key, dtype=np.uint64), *x])
                     continue
                 if kind == BASE:
                     out.append((p, block, kind, data))
@@ -236,15 +243,27 @@ def summed(docs: DataFrame, table: DataFrame, width: int, default: np.ndarray, r
 
     schema = "part int, block long, kind int, data binary"
     packs = table.drop("often").mapInArrow(released(pack), schema)
-    if last:
+    if last or rounds > 1:
         packs = stored(packs, "packed")
+    if last:
         drop(table)
-    asks = packs.unionByName(docs.mapInArrow(released(ask), schema))
-    answers = asks.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(released(answer), schema)
     done = docs.select(*keep).schema.add("n", "long")
     for s in sums:
         done = done.add(s, "double")
-    return answers.repartition(tasks, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(released(finish), done)
+
+    def answered(some: DataFrame) -> DataFrame:
+        asks = packs.unionByName(some.mapInArrow(released(ask), schema))
+        answers = asks.repartition(tasks, "part").sortWithinPartitions("part", "block").mapInArrow(released(answer), schema)
+        return answers.repartition(tasks, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(released(finish), done)
+
+    if rounds == 1:
+        return answered(docs)
+    turn = F.pmod(F.xxhash64("text", *[c for c, kind in docs.dtypes if kind in ("bigint", "int", "string") and c != "text"]), F.lit(rounds))
+    found = [stored(answered(docs.where(turn == k)), "sums") for k in range(rounds)]
+    drop(packs)
+    if own_common:
+        common.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def joined(column: pa.ChunkedArray) -> pa.Array:

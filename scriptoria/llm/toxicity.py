@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ PART_PAIRS, BLOCK_PAIRS = 1 << 20, 1 << 19
 MANY = 1 << 12
 #: Words at most whose chances are broadcast to the parts of the pairs, the most frequent ones; parts ask for the others. It changes no result.
 COMMON_WORDS = 1 << 16
+#: Rounds in which parts of the pairs are weighed, and in which texts ask for weights; each has its share of the shuffled bytes on disk. It changes no result.
+ROUNDS = 2
 #: The models, of both halves of the labelled rows and of each: their columns of toxic and of ordinary counts.
 MODELS = ("", "_0", "_1")
 #: How many pairs have a count of 1 and of 2, for the six counts of every_pair().
@@ -423,13 +426,13 @@ def divided_starts(pairs: DataFrame, many: np.ndarray) -> tuple[np.ndarray, np.n
     return key[by], np.stack([out.column(c).to_numpy() for c in names], axis=1)[by]
 
 
-def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, halved: Broadcast | None = None) -> DataFrame:
+def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, halved: Broadcast | None = None, rounds: int = 0) -> DataFrame:
     """(key, w, w_0, w_1, often) of all pairs of every_pair(): what a pair adds to the ratio of its word, whose chances ``chance`` has.
 
     P(word | word before) = (1 - b) q + b ((1 - DISCOUNT) / k + DISCOUNT P(word)): interpolated Kneser-Ney. q is the pair's share of what the pairs after the word before keep in a class
     beyond its discount; b is the share that they lose in both classes, and k counts the different ones of both. A pair never seen after a word has neither q nor 1 / k, so b falls out of its ratio.
     A class that never has the word before takes the share 1 / k as q. The chances of all words after one sum to 1. A part of the pairs gets the chances of its words by
-    shuffle, but for the most frequent ones. w_0 and w_1 are null of pairs that ``halved`` doesn't let through, if it is given.
+    shuffle, but for the most frequent ones. w_0 and w_1 are null of pairs that ``halved`` doesn't let through, if it is given. With ``rounds``, the parts are dealt to them and each round's rows are stored before the next.
     """
     spark = pairs.sparkSession
     off, divided = discounts(pairs), spark.sparkContext.broadcast(divided_starts(pairs, many))
@@ -474,9 +477,14 @@ def pair_weights(pairs: DataFrame, many: np.ndarray, chance: DataFrame, halved:
         give_back()
         return pa.concat_tables(out)
 
+    def weighed(some: DataFrame) -> DataFrame:
+        asked = some.mapInArrow(released(ask), "part int, word long").join(chance, F.col("word") == F.col("key")).select("part", "word", *names)
+        return some.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(weigh, "key long, " + ", ".join(f"w{m} float" for m in MODELS) + ", often long")
+
     pairs = pairs.select("part", "data")
-    asked = pairs.mapInArrow(released(ask), "part int, word long").join(chance, F.col("word") == F.col("key")).select("part", "word", *names)
-    return pairs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(weigh, "key long, " + ", ".join(f"w{m} float" for m in MODELS) + ", often long")
+    if not rounds:
+        return weighed(pairs)
+    return reduce(DataFrame.unionByName, [stored(weighed(pairs.where(F.col("part") % rounds == k)), "weights", "zstd") for k in range(rounds)])
 
 
 def ored(slots: DataFrame) -> np.ndarray:
@@ -601,12 +609,14 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
         allowed = spark.sparkContext.broadcast(ored(pair_slots(pairs)))
         alone, stems, root, default = word_weights(words)
         alone = alone.select("key", *[F.col("w" + m).cast("float").alias("w" + m) for m in MODELS], "often")
+        alone = stored(alone, "weights", "zstd")
         chance = stored(word_chances(words, stems, root, MODELS), "chances")
+        drop(words, stems)
         halved = spark.sparkContext.broadcast(ored(text_slots(sample)))  # of the halves' models, no weight is kept that the sample doesn't ask for
         collected(spark)
-        table = stored(alone.unionByName(pair_weights(pairs, many, chance, halved)), "weights", "zstd")
+        table = alone.unionByName(pair_weights(pairs, many, chance, halved, ROUNDS))
         halved.destroy()
-        drop(words, stems, chance, pairs)
+        drop(chance, pairs)
         halves = table.where("w_0 is not null")
         collected(spark)
     else:
@@ -624,7 +634,7 @@ def toxicity_ratios(docs: DataFrame, labels: DataFrame, held_out: Column | None,
     collected(spark)
     y, x = (fit.column("toxic").to_numpy() == 1).astype(float), fit.column("ratio").to_numpy()
     learned = (slope(x, y), best_cut(x, y)) if 0 < y.sum() < len(y) else None
-    out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed), last=every)
+    out = summed(docs, table.select("key", "w", "often"), 1, np.array(default[:1]), reader(allowed), last=every, rounds=ROUNDS if every else 1)
     return out.withColumn("ratio", F.col("s0") / F.greatest("n", F.lit(1))).drop("n", "s0"), learned
 
 

@@ -533,6 +533,42 @@ def test_halves_weigh_what_the_sample_asks_for(spark, monkeypatch, common):
     assert all((r.w, r.w_0, r.w_1, r.often) == (whole[k].w, None, None, whole[k].often) for k, r in got.items() if k not in asked)
 
 
+def test_pairs_are_weighed_in_rounds(spark, monkeypatch):
+    """Each round stores a share of the pairs, and together they have the rows of one round."""
+    monkeypatch.setattr(toxicity, "PART_PAIRS", 40)
+    labelled = spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(SENTENCES)], "text string, toxic int, half int").repartition(5)
+    words = toxicity.word_counts(labelled).cache()
+    pairs, many = toxicity.every_pair(labelled, words)
+    _, stems, root, _ = toxicity.word_weights(words)
+    chance, shares = toxicity.word_chances(words, stems, root, toxicity.MODELS), []
+    monkeypatch.setattr(toxicity, "stored", lambda *a: shares.append(scratch.stored(*a)) or shares[-1])
+    want, got = toxicity.pair_weights(pairs.cache(), many, chance), toxicity.pair_weights(pairs, many, chance, None, 3)
+    assert rows(got) == rows(want) and len(shares) == 3
+    assert all(0 < s.count() < 0.6 * want.count() for s in shares)
+
+
+@pytest.mark.parametrize("common", [0, 9])
+def test_texts_ask_in_rounds(spark, monkeypatch, common):
+    """A round's questions are of a share of the texts; all rows come back, with the scores of one round, and no table of weights stays on disk."""
+    table = [(i, t) for i, (t, _) in enumerate(SENTENCES)] + [(None, "a moron"), (None, None), (None, "a moron"), (3, "you idiot"), (3, ""), (200, "the lake " * 50)]
+    docs_ = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(SENTENCES)], "doc_id long, toxic int")
+    folder = Path(scratch.shared_dir(spark).removeprefix("file:")) / f"scriptoria-{spark.sparkContext.applicationId}"
+    kept = lambda: {p.name for tag in ("weights", "packed", "pairs", "chances", "words", "stems") for p in folder.glob(tag + "-*")}
+    monkeypatch.setattr(lookup, "COMMON", common)
+    monkeypatch.setattr(lookup, "PART_ROWS", 20)
+    shares = []
+    monkeypatch.setattr(lookup, "stored", lambda df, tag: shares.append((tag, scratch.stored(df, tag))) or shares[-1][1])
+    before = kept()
+    got = toxicity.toxicity_scores(docs_, labels)
+    counts = [df.count() for tag, df in shares if tag == "sums"]
+    assert kept() == before and len(counts) > 1 and sum(counts) == len(table) and max(counts) < 0.8 * len(table)
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    order = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in df.collect())
+    one, more = order(toxicity.toxicity_scores(docs_, labels)), order(got)
+    assert [x[:2] for x in one] == [x[:2] for x in more] and np.allclose([x[2] for x in one], [x[2] for x in more])
+
+
 def test_stored_leaves_no_shuffle(spark):
     """The files of its write's shuffle are gone when it returns, and the table is whole."""
     folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
