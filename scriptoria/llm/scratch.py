@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes at most of an Arrow batch; one larger row makes a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
@@ -67,9 +68,17 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def collected(spark: SparkSession) -> None:
-    """Let Spark remove the shuffles and broadcasts of results that nobody holds any more, which it does only when driver objects are collected."""
+    """Let Spark remove the shuffles and broadcasts of results that nobody holds any more, which it does only when driver objects are collected; and let executors collect theirs.
+
+    An executor's heap else stays as large as the work before has made it, full of garbage, beside the Python workers of the work to come. Each executor is
+    given one task, if none is busy; one that gets none only stays as it is. In local mode the driver's collection is all.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    n = sc._jsc.sc().getExecutorMemoryStatus().size() - 1  # the driver is one of them
+    if n > 0:
+        spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def drop(*tables: DataFrame) -> None:

@@ -1,8 +1,11 @@
 """The training-data operators against brute force on small tables with every awkward row."""
 
 import hashlib
+import os
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -810,3 +813,46 @@ def test_queries_keep_their_contracts(spark, model, name):
 def test_stages_on_an_empty_table(spark, nothing, at):
     name, stage = corpus_pipeline.STAGES[at]
     assert stage(spark, nothing, DATA).count() == 0
+
+
+HEAPS = """
+import re, time
+from pathlib import Path
+import psutil
+from pyspark.sql import SparkSession
+from scriptoria.llm.scratch import collected
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "1000m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+heaps = [p.pid for p in psutil.Process().children(recursive=True) if "CoarseGrainedExecutorBackend" in " ".join(p.cmdline())]
+held = lambda: [int(re.search(r"Anonymous:\\s+(\\d+)", Path(f"/proc/{p}/smaps_rollup").read_text())[1]) >> 10 for p in heaps]
+spark.range(0, 8_000_000, 1, 2).selectExpr("id % 1000003 k", "repeat(cast(id as string), 9) v").groupBy("k").agg({"v": "max"}).write.format("noop").mode("overwrite").save()
+before = held()
+collected(spark)
+for _ in range(20):
+    if all(b < a - 100 for a, b in zip(before, held())):
+        break
+    time.sleep(0.5)
+print(len(heaps), before, held())
+assert len(heaps) == 2 and all(b < a - 100 for a, b in zip(before, held()))
+"""
+
+
+def test_executors_give_their_heaps_back(tmp_path):
+    import pyspark
+
+    (tmp_path / "home/work").mkdir(parents=True)  # executors work there
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env |= {"SPARK_HOME": str(tmp_path / "home"), "SPARK_LOCAL_DIRS": str(tmp_path), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}
+    done = subprocess.run([sys.executable, "-c", HEAPS], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stdout + done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_begin_with_collected_heaps(spark, nothing, monkeypatch, at):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "collected", seen.append)
+    corpus_pipeline.STAGES[at][1](spark, nothing, DATA)
+    assert seen == [spark]
