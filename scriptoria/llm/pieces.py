@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from scriptoria.llm.kernels import released
 from scriptoria.llm.scratch import bound_batches
 
-#: Entries that each of the two generations of a worker's memory holds; longer segments are not remembered.
-MEMORY, MEMORY_CHARS = 60_000, 48
+#: Entries that each of the two generations of a worker's memory holds; longer segments (in bytes) are not remembered.
+MEMORY, MEMORY_BYTES = 60_000, 48
 #: Tested pairs of pieces that a worker holds before it forgets them.
 PAIRS = 250_000
 SPACE = "▁"
@@ -54,7 +54,7 @@ class Memory(dict):
         out = self.older.get(x)
         if out is None:
             out = self.work(x)
-        if len(x) <= MEMORY_CHARS:
+        if len(x) <= MEMORY_BYTES:
             if len(self) >= MEMORY:
                 self.older = dict(self)
                 self.clear()
@@ -76,7 +76,7 @@ class Neighbours(dict):
 
     def __missing__(self, before: str) -> bool:
         self.model.make_room()
-        out = self[before] = self.model.merged(before + self.piece) == [before, self.piece]
+        out = self[before] = self.model.compatible(before, self.piece)
         return out
 
 
@@ -98,20 +98,30 @@ class PieceModel:
         self.begin, self.end = (next(i for i, (p, _, _) in enumerate(vocabulary) if p == m).to_bytes(4, "little") for m in ("<s>", "</s>"))
         self.surface = pa.array([b"" if kind == "mark" else bytes([int(p[1:-1], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() for p, _, kind in vocabulary], pa.large_binary())
         self.automaton, self.neighbours, self.tested = ahocorasick.Automaton(), [], 0
+        self.ends: dict[str, tuple] = {}
         for p in self.id:
-            if self.merged(p) == [p]:  # others end no text
+            if self.merge(p)[0] == [p]:  # others end no text
                 self.neighbours.append(Neighbours(self, p))
                 self.automaton.add_word(p, (len(p), p, self.id[p].to_bytes(4, "little"), self.neighbours[-1]))
         self.automaton.make_automaton()
         self.encoded = Memory(self.encode_segment)
-        # no piece has a space mark after another character, so nothing merges across such a place
-        if any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("a piece crosses words")
-        self.segment = re.compile(f"{SPACE}+[^{SPACE}]*")
+        # whether a merge can cross the place between two bytes: inside a character, or as two characters beside each other in a piece end and begin
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[:, 0x80:0xC0] = True
+        for p in self.id:
+            spelt = [c.encode() for c in p.replace(SPACE, " ")]
+            for x, y in zip(spelt, spelt[1:]):
+                self.joined[x[-1], y[0]] = True
+        self.joined = self.joined.ravel()
+
+    def merge(self, text: str) -> tuple[list[str], tuple, tuple]:
+        """The merge procedure itself: the best-scored, then leftmost, pair of neighbours whose joined text is a piece.
 
-    def merged(self, text: str) -> list[str]:
-        """The merge procedure itself: the best-scored, then leftmost, pair of neighbours whose joined text is a piece."""
+        Also the parts that stood first, one after the other, with the worst score of the merges during each one's stay, its own end included (-inf: it
+        stays); and those that stood last.
+        """
         parts, score = list(text), self.score
+        first, last, first_worst, last_worst = [], [], inf, inf
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -120,8 +130,42 @@ class PieceModel:
                     best, at = s, i
             if best is None:
                 break
+            if best < first_worst:
+                first_worst = best
+            if best < last_worst:
+                last_worst = best
+            if at == 0:
+                first.append((parts[0], first_worst))
+                first_worst = inf
+            if at == len(parts) - 2:
+                last.append((parts[-1], last_worst))
+                last_worst = inf
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, tuple(zip(*first, (parts[0], -inf))), tuple(zip(*last, (parts[-1], -inf)))
+
+    def compatible(self, before: str, after: str) -> bool:
+        """Whether merging the joined text of two pieces (or characters) gives back the two.
+
+        It does unless a merge crosses their border. Until one does, each merges as it would alone, the better score next, so of the parts at the border that
+        one goes first whose stay has the better worst score; both are there when that worst merge is next, and then their own merge must not come before it.
+        """
+        for x in (before, after):
+            if x not in self.ends:
+                self.ends[x] = self.merge(x)[1:]
+        (left, left_worst), (right, right_worst) = self.ends[before][1], self.ends[after][0]
+        i = j = 0
+        while True:
+            x, y, across = left_worst[i], right_worst[j], self.score.get(left[i] + right[j])
+            if x == y == -inf:
+                return across is None
+            if x >= y:
+                if across is not None and across > x:  # of equal scores the left one merges first
+                    return False
+                i += 1
+            else:
+                if across is not None and across >= y:
+                    return False
+                j += 1
 
     def make_room(self) -> None:
         """Count a pair about to be tested; at PAIRS of them all are forgotten."""
@@ -132,6 +176,7 @@ class PieceModel:
     def forget_pairs(self) -> None:
         for known in self.neighbours:
             known.clear()
+        self.ends.clear()
         self.tested = 0
 
     def forget(self) -> None:
@@ -139,8 +184,9 @@ class PieceModel:
         self.encoded.forget()
         self.forget_pairs()
 
-    def encode_segment(self, segment: str) -> bytes:
+    def encode_segment(self, spelt: bytes) -> bytes:
         """Ids as little-endian 32-bit integers. ``last[i]`` is the last piece of the first i characters; none for one that no piece has."""
+        segment = spelt.decode().replace(" ", SPACE)
         last: list[tuple | None] = [None] * (len(segment) + 1)
         for end, entry in self.automaton.iter(segment):
             end += 1
@@ -164,10 +210,32 @@ class PieceModel:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, segment by segment; a segment is a run of spaces and the characters up to the next."""
-        if not text:
-            return b""
-        return b"".join(map(self.encoded.__getitem__, self.segment.findall(SPACE + text.replace(" ", SPACE))))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. All are cut wherever no merge can cross, and each different segment is encoded once."""
+        spelt = [(SPACE + t).replace(SPACE, " ").encode() if t else b"" for t in texts]
+        ends = np.append(0, np.cumsum([len(x) for x in spelt], dtype=np.int64))
+        raw = np.frombuffer(b"".join(spelt), np.uint8)
+        if not len(raw):
+            return spelt
+        del spelt
+        cut = np.ones(len(raw) + 1, bool)
+        pairs = raw[:-1].astype(np.uint16)
+        pairs <<= 8
+        pairs |= raw[1:]
+        np.logical_not(self.joined[pairs], out=cut[1:-1])
+        del pairs
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        segments = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        _, offsets, data = segments.dictionary.buffers()
+        different, bounds = data.to_pybytes(), np.frombuffer(offsets, np.int64)[: len(segments.dictionary) + 1].tolist()
+        known = pa.array([self.encoded[different[a:b]] for a, b in zip(bounds, bounds[1:])], pa.large_binary())
+        _, offsets, data = known.take(segments.indices).buffers()
+        bounds = np.frombuffer(offsets, np.int64)[np.searchsorted(at, ends)].tolist()
+        ids = data.to_pybytes()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Texts of ids, in UTF-8, without the space put in front; control ids give nothing."""
@@ -184,7 +252,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
 
     ``model`` is the path of the model file on the driver; its vocabulary goes to the executors with the
     tasks. A null text counts as empty and has the begin and end ids alone.
-    Whole texts are encoded; a text without spaces is one segment, worked through in one pass.
+    Whole texts are encoded; a text without a place that no piece crosses is one segment, worked through in one pass.
     Repeated rows each give a row, an empty table none, other columns are ignored.
     """
     path = model or default_model()
@@ -198,7 +266,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, carry: tuple[str, ..
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                ids = [own.begin + own.encode(text or "") + own.end for text in batch.column("text").to_pylist()]
+                ids = [own.begin + x + own.end for x in own.encode_all([text or "" for text in batch.column("text").to_pylist()])]
                 n, decoded = [len(x) // 4 for x in ids], own.decode(ids)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], names=[*carry, "n_tokens", "ids", "decoded"])
         own.forget()  # the worker lives on, for other work

@@ -650,6 +650,40 @@ def test_forgetting_changes_nothing(model, monkeypatch):
     assert sum(map(len, own.neighbours)) <= 20
 
 
+def test_words_and_marks_are_encoded_apart(model, monkeypatch):
+    own, library = model
+    asked = []
+    monkeypatch.setattr(own, "encoded", pieces.Memory(lambda x: asked.append(x) or own.encode_segment(x)))
+    words = ["cat", "Haus", "über", "theaontion", "naive"]
+    text = " ".join(f"{a},\n{b}" for a in words for b in words)
+    assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text)
+    assert len(asked) == len(set(asked)) <= 2 * len(words) + 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("ab ▁é", min_size=2, max_size=6).map(lambda p: p.replace(" ", "▁")), st.integers(-4, 0), max_size=14), st.sets(st.sampled_from("ab▁é"), min_size=1), st.lists(st.text("ab ▁éc", max_size=24), min_size=1, max_size=5))
+def test_any_vocabulary_is_merged_alike(scores, single, texts):
+    """Equal scores, pieces of worse-scored parts, pieces that cross words, characters without a piece."""
+    scores = scores | dict.fromkeys(sorted(single), -9)
+    vocabulary = [("<s>", 0.0, "mark"), ("</s>", 0.0, "mark"), *((f"<0x{b:02X}>", 0.0, "byte") for b in range(256)), *((p, float(s), "text") for p, s in scores.items())]
+    ids, own = {p: i for i, (p, _, _) in enumerate(vocabulary)}, pieces.PieceModel(vocabulary)
+
+    def merged(text):
+        parts = list(text)
+        while found := [(-scores[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]:
+            i = min(found)[1]
+            parts[i : i + 2] = ["".join(parts[i : i + 2])]
+        return parts
+
+    for text, got in zip(texts, own.encode_all(texts), strict=True):
+        parts = merged(("▁" + text).replace(" ", "▁")) if text else []
+        assert list(memoryview(got).cast("I")) == [i for p in parts for i in ([ids[p]] if p in ids else [ids[f"<0x{b:02X}>"] for b in p.encode()])]
+    for a in scores:
+        for b in scores:
+            if merged(a) == [a] and merged(b) == [b]:
+                assert own.compatible(a, b) == (merged(a + b) == [a, b])
+
+
 def test_encoding(docs, nothing, model):
     got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in pieces.encode_texts(docs).collect())
     want = Counter()
